@@ -60,7 +60,9 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
     source = pick(pages, "page_id", "url").select(F.col("page_id").cast("long"), host_of().alias("host"), path_of().alias("path"))
     keyed = source.withColumn("key", F.concat(F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "\x01"), F.lit("\x01"))), F.lit("\x00"), "path", F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 3)
-    picked = [r[0] for r in keyed.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect()]
+    # Drawn by hash at a rate that gives about SAMPLE keys, so no task sends more than its share.
+    rate = min(1.0, SAMPLE / max(1, keyed.count()))
+    picked = [r[0] for r in keyed.select("key").where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(rate * (1 << 40))).collect()]
     picked.sort(key=lambda k: k.encode())
     ends = sorted({picked[len(picked) * i // n] for i in range(1, n)}, key=lambda k: k.encode()) if picked else []
     cuts = [e.encode() for e in ends]
