@@ -1,4 +1,452 @@
 """Queries by name, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import identifiers as ids
+from ..functions import text as tx
+from ..operators import assisted, ranking, store
+from ..sources import files
+from .views import DEGREES, MEMORIES, RELATIONS, memories, questions, relations, table
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+NORM = "strip_accents(lower({0}))"
+TOKENS = "regexp_extract_all(strip_accents(lower({0})), '[a-z0-9]{{2,}}')"
+STOP = quoted(tx.STOPWORDS)
+# Terms without stop words, stemmed, of documents and benchmark items, with their counts.
+INDEX = (
+    f"dt AS (SELECT doc_id AS id, unnest({TOKENS.format('text')}) AS t FROM documents), qt AS (SELECT item_id AS query_id, unnest({TOKENS.format('text')}) AS t FROM benchmark), "
+    f"words AS (SELECT t FROM dt WHERE t NOT IN ({STOP}) UNION SELECT t FROM qt WHERE t NOT IN ({STOP})), {tx.stem_sql('words')}, "
+    "di AS (SELECT id, s AS term, count(*) AS tf FROM dt JOIN stems USING (t) GROUP BY 1, 2), qi AS (SELECT query_id, s AS term, count(*) AS tf FROM qt JOIN stems USING (t) GROUP BY 1, 2)"
+)
+IDF = "idf AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1)) + 1.0 AS idf FROM di GROUP BY term)"
+VECTORS = (
+    "dw AS (SELECT id, term, tf * idf AS x FROM di JOIN idf USING (term)), dv AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM dw), "
+    "qw AS (SELECT query_id, term, tf * idf AS x FROM qi JOIN idf USING (term)), qv AS (SELECT query_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY query_id)) AS w FROM qw), "
+    "cosines AS (SELECT query_id, id, round(sum(dv.w * qv.w), 6) AS semantic FROM dv JOIN qv USING (term) GROUP BY 1, 2)"
+)
+LEXICAL = (
+    "nd AS (SELECT id, count(*) AS nd FROM di GROUP BY id), nq AS (SELECT query_id, count(*) AS nq FROM qi GROUP BY query_id), "
+    "lex AS (SELECT query_id, id, count(*) AS shared, count(*)::DOUBLE / (any_value(nd) + any_value(nq) - count(*)) AS lexical FROM di JOIN qi USING (term) JOIN nd USING (id) JOIN nq USING (query_id) GROUP BY 1, 2)"
+)
+
+
+@query(f"WITH {MEMORIES} SELECT id, project_id, type, status FROM memories WHERE type = 'fact' AND status = 'registered' ORDER BY created_at DESC, id LIMIT 100 OFFSET 20")
+def scan_filter_page(spark: SparkSession, sf: str) -> DataFrame:
+    return store.page(memories(spark, sf), kind="fact", status="registered", limit=100, offset=20).select("id", "project_id", "type", "status")
+
+
+@query(f"WITH {MEMORIES} SELECT project_id, type, count(*) AS n FROM memories GROUP BY 1, 2")
+def count_by_scope(spark, sf):
+    return memories(spark, sf).groupBy("project_id", "type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {MEMORIES} SELECT type, count(*) AS n, count(*) FILTER (status = 'verified') AS n_verified FROM memories GROUP BY 1")
+def type_histogram(spark, sf):
+    return memories(spark, sf).groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "verified").alias("n_verified"))
+
+
+@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def upsert_last_writer(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_id", "event_type", "value")
+    return store.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def insert_if_absent(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    return store.insert_absent(o.where("o_orderstatus = 'F'"), o, ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey")
+
+
+@query(f"WITH {RELATIONS} SELECT source_id, target_id, relation_type FROM relations WHERE relation_type = 'similar_to'")
+def edge_filter(spark, sf):
+    return store.edges(relations(spark, sf), kind="similar_to").drop("rank")
+
+
+@query(f"WITH {RELATIONS} SELECT source_id AS id, source_id, target_id FROM relations WHERE source_id % 2 = 0 UNION ALL SELECT target_id, source_id, target_id FROM relations WHERE target_id % 2 = 0")
+def incident_edges(spark, sf):
+    even = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    return store.incident(relations(spark, sf), even).select("id", "source_id", "target_id")
+
+
+@query(f"WITH {RELATIONS}, {DEGREES} SELECT id, degree, least(degree * 0.1::DOUBLE, 0.5::DOUBLE) AS relation_score FROM degrees")
+def degree_capped(spark, sf):
+    return store.degree(relations(spark, sf)).withColumn("relation_score", store.capped_degree(F.col("degree"), 0.5))
+
+
+@query(f"SELECT doc_id, len({TOKENS.format('text')})::BIGINT AS n_tokens, len(list_distinct({TOKENS.format('text')}))::BIGINT AS n_distinct FROM documents")
+def tokenize_normalized(spark, sf):
+    t = tx.tokens(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(f"SELECT doc_id, len(list_filter({TOKENS.format('text')}, lambda x: x NOT IN ({STOP})))::BIGINT AS n_tokens FROM documents")
+def stopword_filtered(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(tx.tokens(F.col("text"), True)).cast("long").alias("n_tokens"))
+
+
+@query(f"WITH dt AS (SELECT unnest({TOKENS.format('text')}) AS t FROM documents), {tx.stem_sql('dt')} SELECT t AS term, s AS stem FROM stems")
+def stemmed_vocab(spark, sf):
+    words = table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    return words.withColumn("stem", tx.stem(F.col("term")))
+
+
+@query(f"WITH {INDEX}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
+def doc_freq_idf(spark, sf):
+    d = table(spark, sf, "documents")
+    return ranking.document_frequency(ranking.terms(d, "doc_id", "text"), "doc_id", F.lit(float(d.count()))).select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {INDEX}, {LEXICAL} SELECT query_id, id, lexical AS score, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, id) AS rank FROM lex QUALIFY rank <= 20")
+def lexical_topk(spark, sf):
+    d = ranking.terms(memories(spark, sf), "id", "content").persist()
+    return ranking.lexical(d, ranking.terms(questions(spark, sf), "query_id", "query"), "id", "query_id")
+
+
+def _cosines(spark, sf):
+    m = memories(spark, sf)
+    d, q = ranking.terms(m, "id", "content").persist(), ranking.terms(questions(spark, sf), "query_id", "query").persist()
+    idf = ranking.document_frequency(d, "id", F.lit(float(m.count())))
+    return ranking.cosine(ranking.weighted(d, idf, "id"), ranking.weighted(q, idf, "query_id"), "id", "query_id")
+
+
+@query(f"WITH {INDEX}, {IDF}, {VECTORS} SELECT query_id, id, semantic AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, id) AS rank FROM cosines QUALIFY rank <= 20")
+def tfidf_cosine_topk(spark, sf):
+    return ranking.top(_cosines(spark, sf), "query_id", "cosine", 20, F.asc("id"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0),
+c AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_dot_product(q.e, v.e) / nullif(sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(v.e, v.e)), 0), 5) AS cosine FROM q, v WHERE q.vec_id <> v.vec_id)
+SELECT query_id, vec_id, cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS rank FROM c QUALIFY rank <= 10""")
+def dense_cosine_topk(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    e = e.withColumn("norm", F.sqrt(dot("e", "e")))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
+    # The stated batch of queries meets every row; vectors share no key to join on.
+    c = e.join(q, F.col("vec_id") != F.col("query_id")).withColumn("cosine", F.round(dot("e", "qe") / F.nullif(F.col("norm") * F.col("qn"), F.lit(0.0)), 5))
+    return ranking.top(c.select("query_id", "vec_id", "cosine"), "query_id", "cosine", 10, F.asc("vec_id"))
+
+
+FLAGS = ", ".join(f"list_has_any({TOKENS.format('text')}, [{quoted(v.split())}]) AS {k}" for k, v in ranking.INTENTS.items())
+HINT = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{k}'" for w, k in ranking.TYPE_KEYS) + " END AS type_hint"
+
+
+@query(f"SELECT conv_id, turn, {FLAGS}, {HINT} FROM conversations")
+def clue_flags(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", *[c.alias(n) for n, c in ranking.clues(F.col("text")).items()])
+
+
+@query(r"SELECT item_id, len(regexp_extract_all(text, '\b([A-ZÀ-Ú][a-zà-ú]+(?:\s+[A-ZÀ-Ú][a-zà-ú]+)*)\b', 1))::BIGINT AS n_entities FROM benchmark WHERE regexp_full_match(text, '[\x00-\x7F]*')")
+def entity_spans(spark, sf):
+    return table(spark, sf, "benchmark").where(F.rlike("text", F.lit(r"(?s)^[\x00-\x7F]*$"))).select("item_id", F.size(ranking.entities(F.col("text"))).cast("long").alias("n_entities"))
+
+
+STATE_SQL = "CASE status WHEN 'verified' THEN 0.15 WHEN 'obsolete' THEN -0.3 WHEN 'contradicted' THEN -0.25 ELSE 0 END::DOUBLE"
+MOVED_SQL = f"CASE decision_status WHEN 'active' THEN greatest({STATE_SQL}, 0.2::DOUBLE) WHEN 'superseded' THEN least({STATE_SQL}, (-0.3)::DOUBLE) ELSE {STATE_SQL} END"
+
+
+@query(f"WITH {MEMORIES} SELECT id, {STATE_SQL} AS plain, {MOVED_SQL} AS with_intent FROM memories")
+def state_score(spark, sf):
+    s, d = F.col("status"), F.col("decision_status")
+    return memories(spark, sf).select("id", ranking.state_score(s, d, F.lit(False)).alias("plain"), ranking.state_score(s, d, F.lit(True)).alias("with_intent"))
+
+
+@query("""WITH w AS (SELECT event_id, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to FROM events), n AS (SELECT max(ts) AS now FROM events)
+SELECT event_id, CASE WHEN valid_to IS NOT NULL AND valid_from <= now AND now <= valid_to THEN 0.15 WHEN valid_to IS NOT NULL AND valid_to < now THEN -0.15 WHEN valid_to IS NULL AND valid_from <= now THEN 0.075 ELSE 0 END::DOUBLE AS temporal FROM w, n""")
+def temporal_score(spark, sf):
+    e = table(spark, sf, "events")
+    w = e.select("event_id", F.col("ts").alias("valid_from"), F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("valid_to"))
+    w = w.crossJoin(F.broadcast(e.agg(F.max("ts").alias("now"))))
+    both, now = F.col("valid_to").isNotNull(), F.col("now")
+    s = F.when(both & (F.col("valid_from") <= now) & (now <= F.col("valid_to")), 0.15).when(both & (F.col("valid_to") < now), -0.15).when(~both & (F.col("valid_from") <= now), 0.075).otherwise(0.0)
+    return w.select("event_id", s.alias("temporal"))
+
+
+def _hits(keys):
+    return "least(" + " + ".join(f"contains(lower(content), '{k}')::INT" for k in keys) + ", 3)"
+
+
+BONUS = f"""(CASE WHEN type = 'checkpoint' THEN CASE WHEN next_action THEN 0.25 ELSE 0.1 END ELSE 0 END::DOUBLE
+ + CASE WHEN historical THEN CASE WHEN status = 'obsolete' OR coalesce(decision_status, '') = 'superseded' THEN 0.4 ELSE 0 END::DOUBLE + 0.0 - CASE WHEN status = 'verified' THEN 0.1 ELSE 0 END::DOUBLE - CASE WHEN coalesce(decision_status, '') = 'active' THEN 0.15 ELSE 0 END::DOUBLE
+   WHEN current THEN CASE WHEN status = 'verified' THEN 0.12 ELSE 0 END::DOUBLE + CASE WHEN coalesce(decision_status, '') = 'active' THEN 0.3 ELSE 0 END::DOUBLE - CASE WHEN status = 'obsolete' THEN 0.15 ELSE 0 END::DOUBLE - CASE WHEN coalesce(decision_status, '') = 'superseded' THEN 0.3 ELSE 0 END::DOUBLE
+   ELSE 0 END + CASE WHEN next_action THEN {_hits(ranking.ACTION_KEYS)} * 0.15::DOUBLE ELSE 0 END + CASE WHEN risk OR blocker THEN {_hits(ranking.RISK_KEYS)} * 0.15::DOUBLE ELSE 0 END)"""
+CHANNELS = f"""{INDEX}, {IDF}, {VECTORS}, {LEXICAL}, {MEMORIES}, {RELATIONS}, {DEGREES}, q AS (SELECT item_id AS query_id, {FLAGS}, {HINT} FROM benchmark),
+ch AS (SELECT query_id, id, created_at, type AS type_name, content, decision_status, coalesce(lexical, 0) AS lexical, coalesce(shared, 0) AS shared, coalesce(semantic, 0) AS semantic, CASE WHEN type = type_hint THEN 0.5 ELSE 0 END::DOUBLE AS type_s,
+ least(coalesce(degree, 0) * 0.1::DOUBLE, 0.5::DOUBLE) AS relation, CASE WHEN current OR historical OR coalesce(type_hint = 'decision', false) THEN {MOVED_SQL} ELSE {STATE_SQL} END AS state, {BONUS} AS bonus
+ FROM q CROSS JOIN memories LEFT JOIN degrees USING (id) LEFT JOIN lex USING (query_id, id) LEFT JOIN cosines USING (query_id, id) WHERE type_hint IS NULL OR type = type_hint)"""
+
+
+def _ranked(semantic=0.4, relation=0.4, type_=0.3, state=0.6, name="ranked"):
+    score = f"round(bonus + lexical * 1.0::DOUBLE + semantic * {semantic}::DOUBLE + type_s * {type_}::DOUBLE + relation * {relation}::DOUBLE + state * {state}::DOUBLE, 6)"
+    return f"{name} AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, created_at DESC, id) AS rank FROM ch QUALIFY rank <= 20)"
+
+
+def _channels(spark, sf):
+    """The index is kept for the plan's several uses of it; Spark spills what doesn't fit and recomputes what is lost."""
+    m = memories(spark, sf)
+    return ranking.hybrid_channels(m, ranking.terms(m, "id", "content").persist(), relations(spark, sf), questions(spark, sf))
+
+
+@query(f"WITH {CHANNELS}, {_ranked()} SELECT query_id, id, score, rank FROM ranked")
+def hybrid_rank(spark, sf):
+    return ranking.hybrid(_channels(spark, sf)).select("query_id", "id", "score", "rank")
+
+
+@query(f"""WITH {CHANNELS}, {_ranked()}, f AS (SELECT * FROM ranked WHERE rank = 1) SELECT query_id, CASE WHEN score IS NULL THEN 'absent' WHEN absence AND (lexical = 0 OR shared < 2) THEN 'absent'
+ WHEN lexical = 0 AND semantic = 0 AND relation > 0 THEN 'absent' WHEN score >= 0.12 AND (lexical > 0 OR semantic > 0.15) THEN 'relevant' WHEN score >= 0.03 THEN 'weak' ELSE 'absent' END AS quality FROM q LEFT JOIN f USING (query_id)""")
+def quality_label(spark, sf):
+    return ranking.quality(ranking.hybrid(_channels(spark, sf)), questions(spark, sf))
+
+
+@query(f"""WITH {CHANNELS}, {_ranked()}, p AS (SELECT query_id, id FROM ranked WHERE type_name IN ('fact', 'decision', 'hypothesis'))
+SELECT a.query_id, least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM relations JOIN p a ON a.id = source_id JOIN p b ON b.id = target_id AND a.query_id = b.query_id GROUP BY 1, 2, 3""")
+def conflict_pairs(spark, sf):
+    top = ranking.hybrid(_channels(spark, sf)).where(F.col("type_name").isin("fact", "decision", "hypothesis")).select("query_id", "id")
+    r = relations(spark, sf)
+    j = r.join(top.withColumnRenamed("id", "source_id"), "source_id").join(top.withColumnRenamed("id", "target_id"), ["target_id", "query_id"])
+    return j.select("query_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+
+
+CAPSULE = f"""{CHANNELS}, {_ranked()}, capsule AS (SELECT query_id, type_name AS layer, CASE type_name WHEN 'checkpoint' THEN 0 WHEN 'decision' THEN 1 ELSE 2 END::BIGINT AS layer_ord,
+ row_number() OVER (PARTITION BY query_id, type_name ORDER BY rank) AS place, id, content FROM ranked WHERE type_name IN ('checkpoint', 'fact') OR (type_name = 'decision' AND decision_status = 'active') QUALIFY place <= 10)"""
+
+
+@query(f"WITH {CAPSULE} SELECT query_id, layer, layer_ord, place, id FROM capsule")
+def capsule_layers(spark, sf):
+    return assisted.capsule(ranking.hybrid(_channels(spark, sf))).drop("content")
+
+
+@query(f"WITH {CAPSULE} SELECT query_id, count(*) AS items, (sum(length(content)) + 2 * (count(*) - 1))::BIGINT AS chars, greatest(1, (sum(length(content)) + 2 * (count(*) - 1)) // 4)::BIGINT AS tokens FROM capsule GROUP BY query_id")
+def capsule_stats(spark, sf):
+    return assisted.capsule_size(assisted.capsule(ranking.hybrid(_channels(spark, sf))))
+
+
+GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id, 1.0::DOUBLE AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _metrics(source="ranked"):
+    at = ", ".join(f"coalesce(count(*) FILTER (rank <= {k} AND grade IS NOT NULL) / nullif(count(*) FILTER (rank <= {k}), 0), 0)::DOUBLE AS precision_{k}, coalesce(count(*) FILTER (rank <= {k} AND grade IS NOT NULL) / any_value(n), 1)::DOUBLE AS recall_{k}, CASE WHEN count(*) FILTER (rank <= {k} AND grade IS NOT NULL) > 0 THEN 1 ELSE 0 END::DOUBLE AS hit_{k}" for k in (1, 3, 5))
+    return f"""{GOLD}, ng AS (SELECT query_id, count(*)::DOUBLE AS n, list_sum(list_transform(range(1, least(count(*), 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1))) AS idcg FROM gold GROUP BY query_id),
+m AS (SELECT query_id, {at}, coalesce(1.0::DOUBLE / min(rank) FILTER (grade IS NOT NULL), 0) AS rr, coalesce(round(sum(CASE WHEN rank <= 10 AND grade IS NOT NULL THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END) / any_value(idcg), 6), 0)::DOUBLE AS ndcg
+ FROM {source} LEFT JOIN gold USING (query_id, id) LEFT JOIN ng USING (query_id) GROUP BY query_id)"""
+
+
+def _gold(spark, sf):
+    """Documents that hold an item's text: only pairs that share a term are looked into."""
+    m, q = memories(spark, sf), questions(spark, sf)
+    o = ranking.overlap(ranking.terms(m, "id", "content"), ranking.terms(q, "query_id", "query"), "id", "query_id").where("shared = nq")
+    return o.join(q.select("query_id", "query"), "query_id").join(m.select("id", "content"), "id").where(F.contains("content", F.col("query"))).select("query_id", "id", F.lit(1.0).alias("grade"))
+
+
+@query(f"WITH {CHANNELS}, {_ranked()}, {_metrics()} SELECT * FROM m")
+def ir_metrics(spark, sf):
+    return ranking.metrics(ranking.hybrid(_channels(spark, sf)), _gold(spark, sf))
+
+
+MEANS = ("hit_1", "hit_3", "rr", "ndcg", "precision_1", "recall_5")
+
+
+@query(f"WITH {CHANNELS}, {_ranked()}, {_metrics()} SELECT count(*) AS n_queries, {', '.join(f'round(avg({c}), 6) AS {c}' for c in MEANS)} FROM m")
+def macro_metrics(spark, sf):
+    return ranking.metrics(ranking.hybrid(_channels(spark, sf)), _gold(spark, sf)).agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in MEANS])
+
+
+_ABLATED = {"full": {}, "no_semantic": {"semantic": 0}, "no_graph": {"relation": 0}, "no_typing": {"type_": 0}, "no_state": {"state": 0}}
+
+
+@query(f"WITH {CHANNELS}, " + ", ".join(_ranked(**w, name=f"r_{n}") for n, w in _ABLATED.items()) + f", {GOLD} SELECT variant, count(*) AS n_hits, round(avg(1.0::DOUBLE / rank), 6) AS mean_rr FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, query_id, id, rank FROM r_{n}" for n in _ABLATED) + ") JOIN gold USING (query_id, id) GROUP BY variant")
+def ablation_metrics(spark, sf):
+    channels, out = _channels(spark, sf).persist(), None
+    gold = _gold(spark, sf)
+    for name, weights in ranking.ABLATIONS.items():
+        r = ranking.hybrid(channels, weights=weights).select(F.lit(name).alias("variant"), "query_id", "id", "rank")
+        out = r if out is None else out.unionByName(r)
+    return out.join(gold, ["query_id", "id"]).groupBy("variant").agg(F.count("*").alias("n_hits"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mean_rr"))
+
+
+@query("SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1")
+def fake_sources(spark, sf):
+    s = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    return table(spark, sf, "lineitem").join(s, "l_suppkey", "left_anti").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id AS id, first_value(event_id) OVER w AS root, row_number() OVER w - 1 AS depth FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def supersession_chain(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    links = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lag("event_id").over(w).alias("supersedes"))
+    return store.chains(links, most=4096)
+
+
+@query(f"WITH {RELATIONS}, b AS (SELECT source_id AS id, target_id AS other, rank FROM relations UNION ALL SELECT target_id, source_id, rank FROM relations), f AS (SELECT id, other, min(rank) AS r FROM b GROUP BY 1, 2) SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY r, other) AS place FROM f QUALIFY place <= 2")
+def related_limit2(spark, sf):
+    return store.related(relations(spark, sf), table(spark, sf, "documents").select(F.col("doc_id").alias("id")))
+
+
+@query("SELECT source AS source_path, max_by(doc_id, (n_chars, -doc_id)) AS id, max(n_chars) AS n_chars, count(*) AS segments FROM documents GROUP BY source")
+def group_representative(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.groupBy(F.col("source").alias("source_path")).agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("id"), F.max("n_chars").alias("n_chars"), F.count("*").alias("segments"))
+
+
+@query(r"""SELECT p_partkey, upper(regexp_replace('sn-' || p_partkey || '/' || p_brand, '[^0-9A-Za-z]', '', 'g')) AS serial, lower(regexp_replace('AA:bb-' || p_partkey, '[^0-9a-fA-F]', '', 'g')) AS mac,
+ '/c/data/' || replace(p_name, ' ', '/') || '/x.PY' AS path, 'x.py' AS file, p_partkey::VARCHAR AS ticket FROM part""")
+def identifier_normalize(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    raw = F.concat(F.lit("C:\\data\\\\"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("\\x.PY/"))
+    one = lambda f, v: ids.identifier(F.lit(f), v)
+    return p.select("p_partkey", one("serial_number", F.concat(F.lit("sn-"), k, F.lit("/"), F.col("p_brand"))).alias("serial"), one("mac_address", F.concat(F.lit("AA:bb-"), k)).alias("mac"), one("file_path", raw).alias("path"), one("file_name", F.concat(F.lit("a\\"), F.lit("X.py"))).alias("file"), one("ticket_number", F.concat(F.lit("JIRA-"), k)).alias("ticket"))
+
+
+@query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '\b([0-9a-fA-F]{8,40})\b', 1)))::BIGINT AS n_commits, len(list_distinct(regexp_extract_all(text, '\b([0-9a-fA-F]{12})\b', 1)))::BIGINT AS n_macs FROM documents""")
+def identifier_hints(spark, sf):
+    h = ids.hints(F.col("text"))
+    n = lambda f: F.size(F.filter(h, lambda x: x["field"] == f)).cast("long")
+    return table(spark, sf, "documents").select("doc_id", n("commit_sha").alias("n_commits"), n("mac_address").alias("n_macs"))
+
+
+def _parts(spark, sf):
+    """Parts as records that carry identifiers, and questions that name some of them."""
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    meta = F.create_map(F.lit("serial_number"), F.concat(F.lit("SN-"), F.lpad(k, 6, "0")), F.lit("ticket_number"), F.concat(F.lit("TICKET-"), F.col("p_size").cast("string")))
+    rec = p.select(F.col("p_partkey").alias("id"), meta.alias("metadata"), F.col("p_brand").alias("manufacturer"), F.col("p_type").alias("device_model"), F.col("p_partkey").alias("created_at"))
+    q = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("query_id"), F.when(F.col("p_partkey") % 20 == 0, F.concat(F.lit("serial SN-"), F.lpad(k, 6, "0"))).otherwise(F.concat(F.lit("ticket "), F.col("p_size").cast("string"))).alias("query"))
+    return rec, q
+
+
+PARTS = """s AS (SELECT p_partkey AS id, 'SN' || lpad(p_partkey::VARCHAR, 6, '0') AS serial, p_size::VARCHAR AS ticket, lower(p_brand) AS manufacturer, lower(p_type) AS device_model FROM part),
+hints AS (SELECT id AS query_id, CASE WHEN id % 20 = 0 THEN 'serial_number' ELSE 'ticket_number' END AS field, CASE WHEN id % 20 = 0 THEN serial ELSE ticket END AS norm FROM s WHERE id % 10 = 0),
+exact AS (SELECT query_id, field, norm, s.id FROM hints JOIN s ON (field = 'serial_number' AND norm = serial) OR (field = 'ticket_number' AND norm = ticket))"""
+
+
+@query(f"WITH {PARTS} SELECT query_id, field, norm, id FROM exact")
+def identifier_exact(spark, sf):
+    rec, q = _parts(spark, sf)
+    return assisted.identifier_exact(assisted.query_hints(q), assisted.stored_identifiers(rec)).select("query_id", "field", "norm", "id")
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, 'SN' || lpad(p_partkey::VARCHAR, 6, '0') AS norm FROM part), q AS (SELECT id AS query_id, left(norm, 7) AS q FROM s WHERE id % 10 = 0)
+SELECT query_id, id, 'serial_number' AS field, round(0.55 * length(q) / length(norm), 6)::DOUBLE AS score FROM q JOIN s ON starts_with(norm, q)""")
+def identifier_partial(spark, sf):
+    rec, _ = _parts(spark, sf)
+    stored = assisted.stored_identifiers(rec).where("field = 'serial_number'")
+    hints = stored.where("id % 10 = 0").select(F.col("id").alias("query_id"), "field", F.substring("norm", 1, 7).alias("norm"))
+    return assisted.identifier_partial(hints, stored).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {PARTS}, m AS (SELECT query_id, count(*) AS n_matches FROM exact GROUP BY 1) SELECT query_id, CASE WHEN n_matches IS NULL THEN CASE WHEN field = 'serial_number' OR length(norm) >= 4 THEN 'NOT_FOUND' ELSE 'PARTIAL' END WHEN n_matches = 1 THEN 'MATCHED_UNIQUE' ELSE 'MATCHED_MULTIPLE' END AS status, coalesce(n_matches, 0) AS n_matches FROM hints LEFT JOIN m USING (query_id)""")
+def constraint_status(spark, sf):
+    rec, q = _parts(spark, sf)
+    h = assisted.query_hints(q)
+    return assisted.constraint(h, assisted.identifier_exact(h, assisted.stored_identifiers(rec)))
+
+
+def _assisted(spark, sf):
+    rec, q = _parts(spark, sf)
+    e = assisted.identifier_exact(assisted.query_hints(q), assisted.stored_identifiers(rec)).select("query_id", "id", F.lit(1.0).alias("identifier")).distinct()
+    return assisted.ranked(assisted.final_score(e.join(rec, "id"))), q
+
+
+@query(f"WITH {PARTS}, m AS (SELECT query_id, count(DISTINCT id) AS n FROM exact GROUP BY 1) SELECT query_id, CASE WHEN n IS NULL THEN 'NOT_FOUND' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'CONFIRMED' END AS state FROM hints LEFT JOIN m USING (query_id)")
+def assisted_state(spark, sf):
+    r, q = _assisted(spark, sf)
+    return assisted.states(r, q).select("query_id", "state")
+
+
+@query(f"""WITH {PARTS}, t AS (SELECT query_id, s.* FROM exact JOIN s USING (id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s.id DESC) <= 3)
+SELECT query_id, CASE WHEN count(DISTINCT manufacturer) > 1 THEN 'manufacturer' ELSE 'device_model' END AS dimension FROM t GROUP BY query_id HAVING count(DISTINCT manufacturer) > 1 OR count(DISTINCT device_model) > 1""")
+def clarification_dimension(spark, sf):
+    r, _ = _assisted(spark, sf)
+    return assisted.clarification(r, ["manufacturer", "device_model"]).select("query_id", "dimension")
+
+
+@query(r"""SELECT DISTINCT p_name AS name, lower(replace(p_name, ' ', '_')) AS snake, lower(replace(p_name, ' ', '-')) AS kebab, lower(replace(p_name, ' ', '')) AS flat FROM part""")
+def symbol_forms(spark, sf):
+    n = table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct().withColumn("forms", ids.symbol_forms(F.initcap("name")))
+    has = lambda a, b: F.when(F.array_contains("forms", F.lower(F.replace("name", F.lit(a), F.lit(b)))), F.lower(F.replace("name", F.lit(a), F.lit(b))))
+    return n.select("name", has(" ", "_").alias("snake"), has(" ", "-").alias("kebab"), has(" ", "").alias("flat"))
+
+
+@query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path, list_extract(string_split(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '/'), -1) AS file FROM pages")
+def path_match(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path"))
+    f = F.element_at(F.split("path", "/"), -1)
+    return p.where(ids.paths_match(F.col("path"), F.concat(F.lit("C:\\x\\"), F.col("path")))).select("page_id", "path", f.alias("file"))
+
+
+@query(r"SELECT doc_id, lower(regexp_extract(text, '\b([0-9a-fA-F]{7,40})\b', 1)) AS prefix FROM documents WHERE regexp_matches(text, '\b[0-9a-fA-F]{7,40}\b') AND NOT regexp_full_match(regexp_extract(text, '\b([0-9a-fA-F]{7,40})\b', 1), '[0-9]+')")
+def commit_prefix(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", ids.commit_prefix(F.col("text")).alias("prefix")).where("prefix IS NOT NULL")
+
+
+@query("SELECT conv_id AS session, count(*) AS n_answers, least(count(*), 3) AS used, false AS gave_up FROM conversations WHERE role = 'user' AND lower(trim(text)) NOT IN ('nao', 'não', 'no', 'n', 'nao sei', 'não sei', '') GROUP BY conv_id")
+def session_fold(spark, sf):
+    t = table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session"), "turn", F.col("text").alias("answer"))
+    return assisted.session_fold(t.where(~F.lower(F.trim("answer")).isin(*assisted.GIVE_UP))).drop("last_answer")
+
+
+@query(rf"""SELECT doc_id, regexp_matches(text, '{files.API_KEY.replace("'", "''")}') AS has_key, contains(text, 'PRIVATE KEY-----') AND regexp_matches(text, '{files.PRIVATE_KEY}') AS has_private_key FROM documents""")
+def secret_gate(spark, sf):
+    r = files.secret_reasons(F.lit("a.md"), F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.array_contains(r, "api_key_pattern").alias("has_key"), F.array_contains(r, "private_key").alias("has_private_key"))
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^?#]*)', 1) || CASE page_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.PNG' WHEN 2 THEN '/build/a.py' WHEN 3 THEN '.xyz' ELSE '/b.yml' END AS path FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'excluded extension' WHEN 2 THEN 'excluded folder' WHEN 3 THEN 'unsupported type' END AS reason FROM p""")
+def manifest_exclusion(spark, sf):
+    m = F.col("page_id") % 5
+    tail = F.when(m == 0, "x.md").when(m == 1, "x.PNG").when(m == 2, "/build/a.py").when(m == 3, "x.xyz").otherwise("/b.yml")
+    path = F.concat(F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^/]*/([^?#]*)", 1), r"[^a-z0-9/]", ""), tail)
+    return table(spark, sf, "pages").select("page_id", files.exclusion(path).alias("reason"))
+
+
+@query("""WITH l AS (SELECT doc_id, generate_subscripts(s, 1) AS line, unnest(s) AS x, len(s) AS n FROM (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN '# ' || replace(text, chr(10), chr(10) || '## ') ELSE text END, chr(10)) AS s FROM documents)),
+h AS (SELECT doc_id, line, n, length(regexp_extract(x, '^(#{1,6})\\s', 1)) AS level FROM l WHERE regexp_matches(x, '^#{1,6}\\s+.+$'))
+SELECT doc_id, line, level, coalesce(lead(line) OVER (PARTITION BY doc_id ORDER BY line) - 1, n) AS until FROM h""".replace("\\\\", "\\"))
+def heading_segments(spark, sf):
+    marked = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), F.replace("text", F.lit("\n"), F.lit("\n## ")))).otherwise(F.col("text"))
+    return files.markdown_segments(table(spark, sf, "documents").select("doc_id", marked.alias("text")), "doc_id", "text").drop("heading")
+
+
+@query("SELECT doc_id, left(sha256(source || '|' || lang || '|section|' || doc_id), 16) AS id, sha256(text) AS fingerprint FROM documents")
+def stable_ids(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", ids.stable_id(F.col("source"), F.col("lang"), F.lit("section"), F.col("doc_id").cast("string")).alias("id"), F.sha2("text", 256).alias("fingerprint"))
+
+
+@query("""WITH p AS (SELECT left(sha256(doc_id::VARCHAR), 2) AS part, sha256(doc_id::VARCHAR || '|' || lang) AS h FROM documents), g AS (SELECT part, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM p GROUP BY part)
+SELECT sha256(string_agg(part || h, '' ORDER BY part || h)) AS digest, sum(n)::BIGINT AS n_records FROM g""")
+def state_digest(spark, sf):
+    return store.digest(table(spark, sf, "documents"), "lang", "doc_id")
+
+
+@query()
+def python_ast(spark, sf):
+    src = F.concat(F.lit("import click\n@click.command('run-"), F.col("p_partkey").cast("string"), F.lit("')\n@click.option('--size')\ndef run(a, *, b=1):\n    'doc'\nclass A:\n    def m(self): pass\n"))
+    return files.python_segments(table(spark, sf, "part").select(F.concat(F.lit("src/"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), src.alias("content")))
+
+
+@query()
+def config_segments(spark, sf):
+    return files.config_segments(table(spark, sf, "events").select(F.concat(F.lit("e/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.lit("json").alias("file_type"), F.col("props").alias("content")))
