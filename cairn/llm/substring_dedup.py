@@ -5,7 +5,7 @@ document with a smaller doc_id; strings are judged on the input.
 
 Method: suffixes are sorted by external induced sorting (``induced.py``). One
 suffix array of the corpus would be one shard; equal strings need only meet, so
-the suffixes are dealt into shards by the smallest hash among their first 12-byte
+the suffixes are dealt into shards by the smallest hash among their 24-byte
 grams, which equal strings share. Neighbouring suffixes with one such hash stay
 together as one stretch of text, so a shard's texts are short pieces.
 
@@ -14,9 +14,9 @@ together as one stretch of text, so a shard's texts are short pieces.
    filter of at most ``FILTER_BITS`` bits, whatever the size of the corpus. It only
    spares work: stretches that it lets through wrongly are sorted for nothing, and
    once it is full all are, with the same result.
-2. Stretches that pass are reduced to distinct ones with their least owner (in each
-   task before the shuffle, so a passage in a third of all documents is one row
-   a task), dealt to shards, and each shard is sorted. A shard larger than the
+2. Stretches that pass are reduced to distinct ones with their least owner in each
+   task before the shuffle, so a passage in a third of all documents is a few rows
+   a task. They are dealt to shards, and each shard is sorted. A shard larger than the
    memory budget goes to disk in sorted runs of suffix tuples, merged by a
    priority queue. For each string of a stretch that gives the least owner.
 3. The least owners are joined back to the stretches' occurrences, by a join that
@@ -43,7 +43,7 @@ from .common import cut, pick, text_or_empty
 from .induced import SuffixQueue
 from .shingles import mix
 
-LENGTH, GRAM = 50, 12
+LENGTH, GRAM = 50, 24
 WIDTH = LENGTH - GRAM + 1
 #: Most suffixes of one stretch.
 STRETCH = 64
@@ -52,6 +52,8 @@ FILTER_BITS = 1 << 29
 SLICE = 1 << 20
 #: Bytes of text hashed at once, and bytes of a shard sorted at once.
 CHUNK, SHARD = 2 << 20, 3 << 20
+#: Distinct stretches that a task holds before it sends them on.
+HELD = 400_000
 
 
 def _grams(buf: bytes, n: int) -> np.ndarray:
@@ -88,7 +90,13 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         return
     buf = b"".join(texts) + b"\0" * 16
     g = _grams(buf, total)
-    h = mix(g[: total - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) + g[GRAM - 8 : GRAM - 8 + total - GRAM + 1])
+    k = total - GRAM + 1
+    h = g[:k] * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    for o in range(8, GRAM, 8):
+        h = (h + g[o : o + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(31)
+    h = mix(h)
     # Smallest of each WIDTH neighbours, from running minima of blocks in both directions.
     blocks = -(-len(h) // WIDTH) + 1
     padded = np.full(blocks * WIDTH, ~np.uint64(0), np.uint64)
@@ -172,11 +180,28 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
             yield i[ok], at[ok], k[ok], h[ok]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches that pass, each once for as many documents as the task can hold together."""
+        low: dict[tuple[int, bytes], int] = {}
+        high: dict[tuple[int, bytes], int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in low], pa.int64()), pa.array([x[1] for x in low], pa.binary()), pa.array(low.values(), pa.int64()), pa.array(high.values(), pa.int64())], names=["h", "piece", "low", "high"])
+            low.clear()
+            high.clear()
+            return out
+
         for b in batches:
-            ids, texts = np.asarray(b.column(0)), _bytes(b.column(2))
+            ids, texts = np.asarray(b.column(0)).tolist(), _bytes(b.column(2))
             for i, at, k, h in passing(texts):
-                cutout = [texts[x][s : s + c + LENGTH - 1] for x, s, c in zip(i.tolist(), at.tolist(), k.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cutout, pa.binary()), pa.array(ids[i])], names=["h", "piece", "doc_id"])
+                for x, s, c, key in zip(i.tolist(), at.tolist(), k.tolist(), h.view(np.int64).tolist()):
+                    e, d = (key, texts[x][s : s + c + LENGTH - 1]), ids[x]
+                    if d < low.setdefault(e, d):
+                        low[e] = d
+                    if d > high.setdefault(e, d):
+                        high[e] = d
+                if len(low) > HELD:
+                    yield flush()
+        yield flush()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,20 +234,32 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
             kind = pa.list_(pa.struct([("off", pa.int32()), ("n", pa.int32()), ("first", pa.int64())]))
             return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(digest, pa.int64()), pa.array(runs, kind)], names=["h", "digest", "runs"])
 
-        held = 0
+        held, now = 0, None
+
+        def take(key: int, piece: bytes, low: int, high: int) -> None:
+            queue.add(piece, low)
+            digest = xxhash.xxh3_64_intdigest(piece)
+            keys.append((key, digest - (1 << 64) if digest >> 63 else digest, low, high))
+
         for b in batches:
             for key, piece, low, high in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                # Equal stretches of different tasks follow each other and become one.
+                if now and now[0] == key and now[1] == piece:
+                    now = (key, piece, min(low, now[2]), max(high, now[3]))
+                    continue
+                if now:
+                    take(*now)
+                now = (key, piece, low, high)
                 if key != last and held >= shard * 3 // 4:
                     yield from flush()
                     queue, keys, held = SuffixQueue(LENGTH, shard), [], 0
                 last = key
                 held += len(piece) + 1
-                queue.add(piece, low)
-                keys.append((key, xxhash.xxh3_64_intdigest(piece) - (1 << 64 if xxhash.xxh3_64_intdigest(piece) >> 63 else 0), low, high))
+        if now:
+            take(*now)
         yield from flush()
 
-    distinct = source.mapInArrow(pieces, "h long, piece binary, doc_id long").groupBy("h", "piece").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    dealt = distinct.repartition("h").sortWithinPartitions("h")
+    dealt = source.mapInArrow(pieces, "h long, piece binary, low long, high long").repartition("h").sortWithinPartitions("h", "piece")
     least = cut(dealt.mapInArrow(sort_shards, "h long, digest long, runs array<struct<off:int,n:int,first:long>>"))
     at = source.mapInArrow(places, "h long, digest long, doc_id long, tie long, at long")
     runs = at.join(least, ["h", "digest"]).select("doc_id", "tie", "at", F.explode("runs").alias("r")).where("r.first < doc_id")
