@@ -14,10 +14,11 @@ star-shaped candidate edges; links are confirmed on the full shingle sets.
    it. The hub is the member that meets most others over all its buckets: in a
    group of edited copies that is the original. Edges are screened by their
    signatures, confirmed on full sets, and merged into components.
-5. A tested hub leaves its bucket. Buckets whose remaining members still lie in
-   several components get new hubs, sixteen times as many each round, until no pair of
-   different components in a bucket is untested. So no link between bucket mates
-   is lost, and groups that one star connects never emit their pairs.
+5. Buckets whose members then still lie in several components are searched: pairs
+   of different components are compared by signature inside a task, and only those
+   that look similar leave it, to be confirmed. A bucket of more than ``BLOCK``
+   members is dealt out by pairs of blocks. So no link between bucket mates is
+   lost, and groups that a star connects never emit their pairs.
 
 Nothing is collected but counts; a hot bucket is an ordinary skewed join key.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, keep_ids, pick
@@ -42,9 +43,11 @@ from .shingles import Words, mix, shingle_set
 BINS, ROWS = 200, 5
 BANDS = BINS // ROWS
 #: Signatures of sets this small are too coarse to screen by; such pairs go straight to the exact test.
-SCREEN_FROM = 64
+SCREEN_FROM = 8
 #: Least share of equal signature entries that passes: six standard deviations under 0.75.
 SCREEN = 0.56
+#: Members of a bucket that one task compares with each other.
+BLOCK = 2048
 
 
 def bin_orders(bins: int) -> np.ndarray:
@@ -111,11 +114,59 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-        least = np.asarray(batch.column(4))
-        ok = ((a == b).sum(axis=1) >= SCREEN * BINS) | (least < SCREEN_FROM)
+        ok = (a == b).sum(axis=1) >= SCREEN * BINS
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
+def _pairs(node: np.ndarray, own: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, mixed: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a group that lie in different components and look similar enough."""
+    for k in range(len(node) - 1):
+        rest = slice(k + 1, None)
+        ok = (label[rest] != label[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent)
+        if mixed:
+            ok &= own[rest] != own[k]
+        at = np.flatnonzero(ok) + k + 1
+        if len(at):
+            same = (sketch[at] == sketch[k]).sum(axis=1) >= SCREEN * BINS
+            at = at[same | (np.minimum(n[at], n[k]) < SCREEN_FROM)]
+            if len(at):
+                yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+
+
+def _across(percent: int):
+    """Searches each group of rows with one (bucket, i, j); rows come sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def search(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(group)
+            own, node, label, n = (t.column(c).to_numpy() for c in (3, 4, 5, 6))
+            sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
+            mixed = t.column(1)[0] != t.column(2)[0]
+            found = list(_pairs(node, own, label, n, sketch, mixed, percent))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key = np.column_stack([np.asarray(b.column(c)).astype(np.int64) for c in (0, 1, 2)])
+            edges = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for s, e in zip(edges, edges[1:]):
+                if held and tuple(key[s]) != last:
+                    yield from search(held)
+                    held = []
+                held.append(b.slice(s, e - s))
+                last = tuple(key[s])
+        if held:
+            yield from search(held)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept, n_links.
 
@@ -137,47 +188,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     n_nodes = nodes.count()
     links = None
     if n_nodes:
-        reps_met = keep_ids(reps.select("node", "sketch"), nodes, "node", n_nodes).groupBy("node").agg(F.max("sketch").alias("sketch"))
-        sketches = cut(reps_met)
-        digests = keep_ids(classes, nodes, "node", n_nodes)
+        sketches = cut(keep_ids(reps.select("node", "sketch"), nodes, "node", n_nodes).groupBy("node").agg(F.max("sketch").alias("sketch")))
         texts = keep_ids(source.withColumnRenamed("doc_id", "node"), nodes, "node", n_nodes)
-        sets = cut(texts.mapInArrow(_sets, "node long, hashes array<long>").groupBy("node").agg(F.max("hashes").alias("hashes")) if digests.count() != texts.count() else texts.mapInArrow(_sets, "node long, hashes array<long>"))
-        links, tested, hubs = None, None, 1
-        label = nodes.select("node", F.col("node").alias("component"))
-        live = met
-        while True:
-            # A bucket that lies in one component is settled; of the rest, the densest members are the next hubs.
-            at = live.join(label, "node")
-            open_ = at.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-            at = cut(at.join(open_, "bucket"))
-            if at.isEmpty():
-                break
-            order = Window.partitionBy("bucket").orderBy(F.desc("density"), "node")
-            # Spark keeps only the first rows of a bucket in each task before it shuffles for this rank.
-            top = at.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs)
-            top = cut(top.select("bucket", F.col("node").alias("h"), F.col("n").alias("hn"), F.col("component").alias("hc")))
-            pairs = at.join(top, "bucket").where(
-                (F.col("component") != F.col("hc")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
-            )
-            pairs = pairs.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b"), F.least("n", "hn").alias("least")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = cut(pairs)
-            sa, sb = sketches.toDF("a", "ska"), sketches.toDF("b", "skb")
-            near = pairs.join(sa, "a").join(sb, "b").select("a", "b", "ska", "skb", "least").mapInArrow(_screen, "a long, b long")
-            found = (
-                near.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
-                .select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"), (F.size("ha") + F.size("hb")).alias("sum"))
-                .where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent)
-                .select("a", "b")
-            )
-            links = cut(found if links is None else links.union(found))
-            tested = pairs.select("a", "b") if tested is None else cut(tested.union(pairs.select("a", "b")))
-            if not links.isEmpty():
-                label = nodes.join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-            live = live.join(top.select("bucket", F.col("h").alias("node")), ["bucket", "node"], "left_anti")
-            live = cut(live)
-            hubs *= 16
+        # Rows that repeat a doc_id are one node; any of their sets is the node's.
+        sets = cut(texts.mapInArrow(_sets, "node long, hashes array<long>").dropDuplicates(["node"]))
+
+        def confirmed(pairs: DataFrame) -> DataFrame:
+            """The pairs (a, b) whose full sets are similar enough."""
+            met_ = pairs.join(sets.toDF("a", "ha"), "a").join(sets.toDF("b", "hb"), "b")
+            sized = met_.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("both"), (F.size("ha") + F.size("hb")).alias("sum"))
+            return sized.where(F.col("both") * 100 >= (F.col("sum") - F.col("both")) * percent).select("a", "b")
+
+        close = F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent
+        hubs = met.groupBy("bucket").agg(F.max_by(F.struct("node", "n"), F.struct(F.col("density"), -F.col("node"))).alias("hub")).select("bucket", F.col("hub.node").alias("h"), F.col("hub.n").alias("hn"))
+        stars = met.join(hubs, "bucket").where((F.col("node") != F.col("h")) & close)
+        stars = stars.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
+        stars = stars.join(sketches.toDF("a", "ska"), "a").join(sketches.toDF("b", "skb"), "b").mapInArrow(_screen, "a long, b long")
+        links = cut(confirmed(stars))
+        joined = components(links) if not links.isEmpty() else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        label = nodes.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        # A bucket that lies in one component is settled; the others are searched for links between components.
+        at = met.join(label, "node")
+        open_ = at.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
+        blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
+        rows = at.drop("density").join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        # In a bucket of several blocks every pair of blocks is a task's work of its own.
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        rows = rows.select("bucket", "own", other, "node", "component", "n", "sketch")
+        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "sketch")
+        within = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct()
+        links = cut(links.union(confirmed(within)).distinct())
     spark = docs.sparkSession
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
