@@ -165,9 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     heads = sorted({e.rstrip() for e in weights})
     exceptions = []
     if heads:
-        starts = F.lit(False)
-        for h in {h[:5] for h in heads}:
-            starts = starts | F.startswith("entry", F.lit(h))
+        # Entries that begin a word have five characters or more, the space included.
+        starts = F.substring("entry", 1, 5).isin(sorted({h[:5] for h in heads}))
         clean = counts.where(starts & F.endswith("entry", F.lit(" ")) & (F.col("toxic") == 0)).select("entry").orderBy(F.desc("n"), "entry").limit(ENTRIES).collect()
         exceptions = [r.entry for r in clean if any(r.entry.startswith(h) for h in heads) and r.entry not in weights]
     lexicon = Lexicon(weights, exceptions)
