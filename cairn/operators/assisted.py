@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import identifiers as ids
 
 # Weights, thresholds and texts of the assisted ranking.
-WEIGHTS = {"identifier": 2.0, "path": 1.5, "symbol": 1.2, "commit": 1.0, "cli": 0.8, "metadata": 0.6, "text": 0.5, "temporal": 0.3, "relation": 0.25}
+WEIGHTS = {"identifier": 2.0, "path": 1.5, "symbol": 1.2, "commit": 1.0, "cli": 0.8, "attributes": 0.6, "text": 0.5, "temporal": 0.3, "relation": 0.25}
 CONFIRMED, MARGIN, AMBIGUOUS, CLARIFY, FLOOR = 0.35, 0.15, 0.22, 0.10, 0.06
 PARTIAL, PARTIAL_FROM, PER_FIELD, FIELDS_CAP, POOL = 0.55, 4, 0.25, 0.9, 50
 OBSOLETE, SUPERSEDED, HYPOTHESIS = 0.20, 0.25, 0.10
@@ -101,7 +101,7 @@ def final_score(channels: DataFrame) -> DataFrame:
     for n, w in WEIGHTS.items():
         total = total + c[n] * w
     signal = F.lit(False)
-    for n in ("identifier", "metadata", "text", "path", "symbol", "cli", "commit"):
+    for n in ("identifier", "attributes", "text", "path", "symbol", "cli", "commit"):
         signal = signal | (c[n] > 0)
     col = lambda n, d: F.coalesce(F.col(n), F.lit(d)) if n in have else F.lit(d)
     active = (col("type", "") == "decision") & (col("decision_status", "") == "active")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NEWEST = (F.desc("created_at"), F.asc("id"))
-
-
 def page(records: DataFrame, project: str | None = None, kind: str | None = None, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Records that meet the given predicates, newest first, one page of them."""
     for column, value in (("project_id", project), ("type", kind), ("status", status)):
         if value is not None:
             records = records.where(F.col(column) == value)
-    return records.orderBy(*NEWEST).offset(offset).limit(limit)
+    return records.orderBy(F.desc("created_at"), F.asc("id")).offset(offset).limit(limit)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
