@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,17 +68,28 @@ def chains(links: DataFrame, most: int = 100) -> DataFrame:
     """(id, root, depth) along ``links`` (id, supersedes): how far each record's chain goes back.
 
     Pointer doubling: each round joins the table to itself, so a chain of n records
-    takes log n rounds. Cycles end after ``most`` doublings' reach; their records get a null root.
+    takes log n rounds. Cycles end once ``most`` steps are reached; their records get some record of the cycle.
     """
-    now = links.select("id", F.col("supersedes").alias("at"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    now = _cut(links.select("id", F.col("supersedes").alias("at"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     reach = 1
     while reach < most:
         up = now.select(F.col("id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"))
-        now = now.join(up, "at", "left").select("id", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        now = _cut(now.join(up, "at", "left").select("id", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved")))
+        if now.where("moved").isEmpty():
+            break
+        now = now.drop("moved")
         reach *= 2
     return now.select("id", F.coalesce("at", "id").alias("root"), "depth")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Materialised in the shared checkpoint folder, so that a loop's plan doesn't grow."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def digest(records: DataFrame, kind: str, key: str) -> DataFrame:
     """A digest of the state that doesn't depend on row order: the SHA-256 of the sorted digests of parts."""
     parts = records.select(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2).alias("part"), F.sha2(F.concat_ws("|", F.col(key).cast("string"), kind), 256).alias("h"))
