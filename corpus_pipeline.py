@@ -42,7 +42,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: SQL can't express the stages; tests hold each against a brute-force version.
+#: SQL can't express the stages; the operators behind them are held against brute force in tests/llm.
 ORACLE_SQL = None
 
 
