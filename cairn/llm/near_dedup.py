@@ -14,10 +14,12 @@ star-shaped candidate edges; links are confirmed on the full shingle sets.
    it. The hub is the member that meets most others over all its buckets: in a
    group of edited copies that is the original. Edges are screened by their
    signatures, confirmed on full sets, and merged into components.
-5. Buckets whose members then still lie in several components are searched: pairs
-   of different components are compared by signature inside a task, and only those
-   that look similar leave it, to be confirmed. A bucket of more than ``BLOCK``
-   members is dealt out by pairs of blocks. So no link between bucket mates is
+5. Buckets whose members then still lie in several components are searched inside
+   tasks: pairs of different components are screened by signature and compared on
+   their sets (whole up to ``SAMPLE`` shingles, else by bottom samples that only rule
+   out), each pair in the first band it shares. What leaves a task joins components,
+   and is confirmed on full sets. A bucket of more than ``BLOCK`` members is dealt
+   out by pairs of blocks. So no link between bucket mates is
    lost, and groups that a star connects never emit their pairs.
 
 Nothing is collected but counts; a hot bucket is an ordinary skewed join key.
@@ -48,6 +50,10 @@ SCREEN_FROM = 8
 SCREEN = 0.56
 #: Members of a bucket that one task compares with each other.
 BLOCK = 2048
+#: Sets up to this size go whole into the search of a bucket, larger ones by so many of their smallest hashes.
+SAMPLE = 512
+#: Percent by which a sampled estimate may lie under the true similarity: six standard deviations.
+SLACK = 12
 
 
 def bin_orders(bins: int) -> np.ndarray:
@@ -118,19 +124,50 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
 
-def _pairs(node: np.ndarray, own: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, mixed: bool, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a group that lie in different components and look similar enough."""
+def _linked(node: np.ndarray, own: np.ndarray, label: np.ndarray, n: np.ndarray, sketch: np.ndarray, bands: np.ndarray, band: int, hashes: list[np.ndarray], mixed: bool, percent: int) -> list[tuple[int, int]]:
+    """Pairs of a group that lie in different components and are similar; of those that connect the same components, one.
+
+    Whole sets are compared as they are. A sample of a larger set only rules pairs
+    out, so its pairs are all returned, and none of them merges components here.
+    """
+    flat = np.concatenate(hashes)
+    values, ids = np.unique(flat.view(np.uint64), return_inverse=True)
+    size = np.array([len(h) for h in hashes])
+    offset = np.concatenate([[0], np.cumsum(size)[:-1]])
+    whole = n <= SAMPLE
+    last = np.where(whole, len(values), ids[offset + size - 1])
+    label, flag, out = label.copy(), np.zeros(len(values), np.int32), []
     for k in range(len(node) - 1):
         rest = slice(k + 1, None)
         ok = (label[rest] != label[k]) & (np.minimum(n[rest], n[k]) * 100 >= np.maximum(n[rest], n[k]) * percent)
         if mixed:
             ok &= own[rest] != own[k]
         at = np.flatnonzero(ok) + k + 1
+        if band and len(at):
+            # Two that met in an earlier band were compared there.
+            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)]
         if len(at):
             same = (sketch[at] == sketch[k]).sum(axis=1) >= SCREEN * BINS
             at = at[same | (np.minimum(n[at], n[k]) < SCREEN_FROM)]
-            if len(at):
-                yield np.minimum(node[at], node[k]), np.maximum(node[at], node[k])
+        if not len(at):
+            continue
+        mine = ids[offset[k] : offset[k] + size[k]]
+        starts = np.concatenate([[0], np.cumsum(size[at])[:-1]])
+        theirs = ids[np.repeat(offset[at] - starts, size[at]) + np.arange(int(size[at].sum()))]
+        flag[mine] = 1
+        both = np.add.reduceat(flag[theirs], starts)
+        flag[mine] = 0
+        # Up to the smaller of the two largest sampled values both samples are complete.
+        top = np.minimum(last[at], last[k])
+        union = np.searchsorted(mine, top, side="right") + np.add.reduceat((theirs <= np.repeat(top, size[at])).astype(np.int64), starts) - both
+        exact = whole[at] & whole[k]
+        hit = both * 100 >= union * np.where(exact, percent, percent - SLACK)
+        for x, sure in zip(at[hit].tolist(), exact[hit].tolist()):
+            if label[x] != label[k]:
+                out.append((min(int(node[x]), int(node[k])), max(int(node[x]), int(node[k]))))
+                if sure:
+                    label[label == label[x]] = label[k]
+    return out
 
 
 def _across(percent: int):
@@ -140,14 +177,19 @@ def _across(percent: int):
         held: list[pa.RecordBatch] = []
 
         def search(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(group)
+            t = pa.Table.from_batches(group).combine_chunks()
+            if t.num_rows < 2:
+                return
             own, node, label, n = (t.column(c).to_numpy() for c in (3, 4, 5, 6))
             sketch = np.frombuffer(b"".join(t.column(7).to_pylist()), np.uint8).reshape(-1, BINS)
-            mixed = t.column(1)[0] != t.column(2)[0]
-            found = list(_pairs(node, own, label, n, sketch, mixed, percent))
+            bands = t.column(8).combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            sets = t.column(9).combine_chunks()
+            cuts = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+            flat = sets.flatten().to_numpy()
+            band = int(np.argmax(bands[0] == t.column(0)[0].as_py()))
+            found = _linked(node, own, label, n, sketch, bands, band, [flat[s:e] for s, e in zip(cuts, cuts[1:])], t.column(1)[0] != t.column(2)[0], percent)
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
         last = None
         for b in batches:
@@ -211,11 +253,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         at = met.join(label, "node")
         open_ = at.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("size")).where("c1 <> c2")
         blocks = F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int")
-        rows = at.drop("density").join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(sketches, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        profile = reps.select("node", "bands").dropDuplicates(["node"]).join(sketches, "node").join(sets.select("node", F.slice("hashes", 1, SAMPLE).alias("hashes")), "node")
+        rows = at.drop("density").join(open_.select("bucket", blocks.alias("blocks")), "bucket").join(profile, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         # In a bucket of several blocks every pair of blocks is a task's work of its own.
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        rows = rows.select("bucket", "own", other, "node", "component", "n", "sketch")
-        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "sketch")
+        rows = rows.select("bucket", "own", other, "node", "component", "n", "sketch", "bands", "hashes")
+        rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "sketch", "bands", "hashes")
         within = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_across(percent), "a long, b long").distinct()
         links = cut(links.union(confirmed(within)).distinct())
     spark = docs.sparkSession

@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -79,6 +80,31 @@ def test_near_duplicate_group_around_an_original(spark):
     assert linked > 50 and sum(r.component_id == 0 for r in out) >= linked
 
 
+@pytest.mark.parametrize("size", [60, 700])
+def test_near_duplicates_without_one_original(spark, size):
+    """Copies with different amounts of edits: many link only through others, many not at all."""
+    rng = random.Random(size)
+    base = [f"w{rng.randrange(4000)}" for _ in range(size)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, size // 12)):
+            words[rng.randrange(size)] = f"e{i}x{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    low = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(a):
+                if low[a] != low[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    low[a] = low[b] = min(low[a], low[b])
+                    changed = True
+    out = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(low))
+
+
 def test_token_counts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
