@@ -48,10 +48,12 @@ WIDTH = LENGTH - GRAM + 1
 #: Most suffixes of one stretch.
 STRETCH = 64
 FILTER_BITS = 1 << 29
-#: Bits of the filter that one slice holds.
-SLICE = 1 << 20
-#: Bytes of text hashed at once, and bytes of a shard sorted at once.
-CHUNK, SHARD = 2 << 20, 3 << 20
+#: Bytes of text that one bucket of hashes stands for, and most buckets.
+BUCKET, MOST_BUCKETS = 32 << 20, 1 << 20
+#: Hashes that a task holds before it sends them on.
+HELD_HASHES = 1_500_000
+#: Bytes of text hashed at once (few, so that they stay in the processor's cache), and bytes of a shard sorted at once.
+CHUNK, SHARD = 256 << 10, 3 << 20
 #: Distinct stretches that a task holds before it sends them on.
 HELD = 400_000
 
@@ -63,6 +65,15 @@ def _grams(buf: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """Smallest of each WIDTH neighbours, from minima of 2, 4, 8 and 16."""
+    width = 1
+    while width * 2 <= WIDTH:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[: len(h) - (WIDTH - width)], h[WIDTH - width :])
+
+
 def stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text number, first suffix, suffixes, hash) of all stretches, chunk by chunk of text."""
     first, n = 0, len(texts)
@@ -97,111 +108,171 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         h = (h + g[o : o + k]) * np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(31)
     h = mix(h)
-    # Smallest of each WIDTH neighbours, from running minima of blocks in both directions.
-    blocks = -(-len(h) // WIDTH) + 1
-    padded = np.full(blocks * WIDTH, ~np.uint64(0), np.uint64)
-    padded[: len(h)] = h
-    rows = padded.reshape(blocks, WIDTH)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:n], ahead[WIDTH - 1 : WIDTH - 1 + n])
-    # Only suffixes of LENGTH bytes inside their own text count.
+    least = _least(h)
+    # Only suffixes of LENGTH bytes inside their own text count: stretches end where those of a text begin or end.
     ends = np.cumsum(sizes)
     begins = ends - sizes
     count = np.maximum(sizes - LENGTH + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), count)
-    place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    if not len(place):
-        return
-    value = least[np.repeat(begins, count) + place]
-    new = np.empty(len(value), bool)
+    new = np.empty(n, bool)
     new[0] = True
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    new |= place % STRETCH == 0
+    new[1:] = least[1:] != least[:-1]
+    for edge in (begins, begins + count):
+        new[edge[edge < n]] = True
     at = np.flatnonzero(new)
-    yield owner[at], place[at], np.diff(np.append(at, len(value))), value[at]
+    k = np.diff(np.append(at, n))
+    if (k > STRETCH).any():
+        # Only a text that repeats itself has such a stretch; it is cut from where it begins, so that copies are cut alike.
+        parts = -(-k // STRETCH)
+        inner = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+        end = np.repeat(at + k, parts)
+        at = np.repeat(at, parts) + inner * STRETCH
+        k = np.minimum(STRETCH, end - at)
+    owner = np.searchsorted(ends, at, "right")
+    place = at - begins[owner]
+    ok = place < count[owner]
+    yield owner[ok], place[ok], k[ok], least[at[ok]]
+
+
+def _slots(h: np.ndarray, buckets: int, bits: int) -> list[np.ndarray]:
+    """Two places of each hash in its bucket's slice of the filter."""
+    slice_ = bits // buckets
+    first = _bucket(h, buckets) * slice_
+    return [first + (mix(h + np.uint64(k)) & np.uint64(slice_ - 1)).astype(np.int64) for k in (1, 2)]
+
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(65 - buckets.bit_length())).astype(np.int64)
+
 
+def _packed(h: np.ndarray) -> bytes:
+    """Sorted hashes, byte plane by byte plane: the upper planes hardly change and compress."""
+    return h.view(np.uint8).reshape(-1, 8).T.tobytes()
 
-def _slots(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    shift = np.uint64(64 - (bits.bit_length() - 1))
-    return [(mix(h + np.uint64(k)) >> shift).astype(np.int64) for k in (1, 2)]
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def _filter(source: DataFrame, bits_limit: int) -> tuple[bytes, int]:
-    """The filter of hashes that more than one document has, and its number of bits."""
+def _filter(source: DataFrame, bits_limit: int) -> tuple[bytes, int, int]:
+    """The filter of hashes that more than one document has, its buckets and its bits.
+
+    A task sends its distinct hashes on as sorted blocks, one a bucket; buckets are
+    ranges of hashes, as many as the texts' bytes ask for.
+    """
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(64, 1 << (int(size) // BUCKET).bit_length()))
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, n = [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            h, d = np.concatenate(held), np.concatenate(ids)
+            order = np.argsort(h, kind="stable")
+            h, d = h[order], d[order]
+            at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            several = np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)
+            h = h[at]
+            edge = np.searchsorted(_bucket(h, buckets), np.arange(buckets + 1))
+            rows = [(k, _packed(part[~many]), _packed(part[many])) for k in np.flatnonzero(np.diff(edge)).tolist() for part, many in [(h[edge[k] : edge[k + 1]], several[edge[k] : edge[k + 1]])]]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "one", "many"])
+
         for b in batches:
-            ids = np.asarray(b.column(0))
+            own = np.asarray(b.column(0))
             for i, _, _, h in stretches(_bytes(b.column(2))):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i])], names=["h", "doc_id"])
+                held.append(h)
+                ids.append(own[i])
+                n += len(h)
+                if n >= HELD_HASHES:
+                    yield flush()
+                    held, ids, n = [], [], 0
+        if n:
+            yield flush()
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of several documents in one block, or in several blocks. One document in two blocks only costs needless sorting."""
+        bucket, one, many = None, [], []
 
-    met = source.mapInArrow(hashes, "h long, doc_id long")
-    shared = cut(met.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h"))
-    n = shared.count()
-    bits = min(bits_limit, max(SLICE, 1 << max(1, 12 * n).bit_length()))
+        def shared() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(one), return_counts=True)
+            h = np.union1d(h[n > 1], np.concatenate(many))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([h.tobytes()], pa.binary())], names=["bucket", "hashes"])
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in _slots(np.asarray(b.column(0)).view(np.uint64), bits):
-                yield pa.RecordBatch.from_arrays([pa.array((s // SLICE).astype(np.int32)), pa.array((s % SLICE).astype(np.int32))], names=["slice", "bit"])
+            for k, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if bucket is not None and k != bucket:
+                    yield shared()
+                    one, many = [], []
+                bucket = k
+                x, y = _unpacked(x), _unpacked(y)
+                one += [x, y]
+                many.append(y)
+        if bucket is not None:
+            yield shared()
+
+    blocks = source.mapInArrow(hashes, "bucket int, one binary, many binary").repartition("bucket").sortWithinPartitions("bucket")
+    shared = cut(blocks.mapInArrow(together, "bucket int, hashes binary"))
+    n = (shared.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    bits = max(8 * buckets, min(bits_limit, 1 << max(1, 12 * n).bit_length()))
+    slice_ = bits // buckets
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for b in batches:
-            sl, bit = np.asarray(b.column(0)), np.asarray(b.column(1))
-            for k in np.unique(sl):
-                held.setdefault(int(k), np.zeros(SLICE, bool))[bit[sl == k]] = True
-        for k, v in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(v, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                set_ = np.zeros(slice_, bool)
+                for s in _slots(np.frombuffer(x, np.uint64), buckets, bits):
+                    set_[s - k * slice_] = True
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(set_, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
 
     out = bytearray(bits // 8)
-    for r in shared.mapInArrow(slots, "slice int, bit int").repartition("slice").mapInArrow(slices, "slice int, bits binary").collect():
-        out[r["slice"] * SLICE // 8 : (r["slice"] + 1) * SLICE // 8] = r["bits"]
-    return bytes(out), bits
+    for r in shared.mapInArrow(slices, "bucket int, bits binary").toLocalIterator():
+        out[r["bucket"] * slice_ // 8 : (r["bucket"] + 1) * slice_ // 8] = r["bits"]
+    return bytes(out), buckets, bits
 
 
 def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) -> DataFrame:
     """(doc_id, tie, list): for each document with something to remove, its covered byte ranges, unmerged."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text")).where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
-    filled, bits = _filter(source, bits_limit)
+    filled, buckets, bits = _filter(source, bits_limit)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def passing(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         table = np.frombuffer(shared.value, np.uint8)
         for i, at, k, h in stretches(texts):
             ok = np.ones(len(h), bool)
-            for s in _slots(h, bits):
+            for s in _slots(h, buckets, bits):
                 ok &= (table[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
             yield i[ok], at[ok], k[ok], h[ok]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Stretches that pass, each once for as many documents as the task can hold together."""
-        low: dict[tuple[int, bytes], int] = {}
-        high: dict[tuple[int, bytes], int] = {}
+        seen: dict[bytes, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in low], pa.int64()), pa.array([x[1] for x in low], pa.binary()), pa.array(low.values(), pa.int64()), pa.array(high.values(), pa.int64())], names=["h", "piece", "low", "high"])
-            low.clear()
-            high.clear()
+            h, low, high = zip(*seen.values()) if seen else ((), (), ())
+            out = pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(seen.keys(), pa.binary()), pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["h", "piece", "low", "high"])
+            seen.clear()
             return out
 
         for b in batches:
             ids, texts = np.asarray(b.column(0)).tolist(), _bytes(b.column(2))
             for i, at, k, h in passing(texts):
-                for x, s, c, key in zip(i.tolist(), at.tolist(), k.tolist(), h.view(np.int64).tolist()):
-                    e, d = (key, texts[x][s : s + c + LENGTH - 1]), ids[x]
-                    if d < low.setdefault(e, d):
-                        low[e] = d
-                    if d > high.setdefault(e, d):
-                        high[e] = d
-                if len(low) > HELD:
+                for x, s, e, key in zip(i.tolist(), at.tolist(), (at + k + (LENGTH - 1)).tolist(), h.view(np.int64).tolist()):
+                    piece, d = texts[x][s:e], ids[x]
+                    was = seen.get(piece)
+                    if was is None:
+                        seen[piece] = [key, d, d]
+                    elif d < was[1]:
+                        was[1] = d
+                    elif d > was[2]:
+                        was[2] = d
+                if len(seen) > HELD:
                     yield flush()
-        yield flush()
+        if seen:
+            yield flush()
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
