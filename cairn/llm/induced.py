@@ -197,7 +197,10 @@ class SuffixQueue:
         return t, sa, text[sa], new, begin
 
     def _spill(self) -> None:
-        t, sa, text, _, begin = self._sorted()
+        t, sa, text, new, begin = self._sorted()
+        # Within a run equal strings stand by owner, as the merge expects.
+        order = np.lexsort((np.array(self.owners, np.int64)[text], np.cumsum(new)))
+        sa, text = sa[order], text[order]
         if self.folder is None:
             self.folder = tempfile.mkdtemp(prefix="suffixes-")
         kind = np.dtype([("key", f"S{self.length}"), ("owner", "<i8"), ("text", "<i8"), ("place", "<i8")])

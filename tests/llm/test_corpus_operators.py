@@ -300,3 +300,19 @@ def test_mixing(spark, docs):
 def test_mix_is_materialised(spark, docs):
     out = mixing.take_mix(docs).groupBy("doc_id").agg(F.count("*").alias("n"), F.first("copies").alias("copies")).collect()
     assert out and all(r.n == r.copies for r in out)
+
+
+@pytest.mark.parametrize("budget", [60, 400, 1 << 20])
+def test_suffix_queue_least_owner(budget):
+    rng = np.random.default_rng(1)
+    base = rng.integers(97, 100, 40).astype(np.uint8).tobytes()
+    texts = [base[s : s + n] for s, n in zip(rng.integers(0, 20, 60).tolist(), rng.integers(5, 25, 60).tolist())]
+    owners = rng.permutation(60).tolist()
+    queue = induced.SuffixQueue(8, budget)
+    for t, o in zip(texts, owners):
+        queue.add(t, o)
+    first = {}
+    for t, o in zip(texts, owners):
+        for k in range(len(t) - 7):
+            first[t[k : k + 8]] = min(o, first.get(t[k : k + 8], o))
+    assert [x.tolist() for x in queue.least()] == [[first[t[k : k + 8]] for k in range(len(t) - 7)] for t in texts]
