@@ -130,7 +130,8 @@ def _stretches(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
     owner = np.searchsorted(ends, at, "right")
     place = at - begins[owner]
     ok = place < count[owner]
-    yield owner[ok], place[ok], k[ok], least[at[ok]]
+    # Minima are small numbers; mixed once more they are spread evenly over the buckets.
+    yield owner[ok], place[ok], k[ok], mix(least[at[ok]])
 
 
 def _slots(h: np.ndarray, buckets: int, bits: int) -> list[np.ndarray]:
