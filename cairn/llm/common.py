@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more, such as those behind a cut."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int | None = None) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (one column of the same name, distinct).
 

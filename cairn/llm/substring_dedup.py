@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, text_or_empty
+from .common import cut, pick, release, text_or_empty
 from .induced import SuffixQueue
 from .shingles import mix
 
@@ -238,6 +238,7 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
     """(doc_id, tie, list): for each document with something to remove, its covered byte ranges, unmerged."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text")).where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
     filled, buckets, bits = _filter(source, bits_limit)
+    release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def passing(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -333,10 +334,15 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
 
     dealt = source.mapInArrow(pieces, "h long, piece binary, low long, high long").repartition("h").sortWithinPartitions("h", "piece")
     least = cut(dealt.mapInArrow(sort_shards, "h long, digest long, runs array<struct<off:int,n:int,first:long>>"))
+    del dealt
+    release(docs.sparkSession)
     at = source.mapInArrow(places, "h long, digest long, doc_id long, tie long, at long")
     runs = at.join(least, ["h", "digest"]).select("doc_id", "tie", "at", F.explode("runs").alias("r")).where("r.first < doc_id")
     span = F.struct((F.col("at") + F.col("r.off")).alias("start"), (F.col("at") + F.col("r.off") + F.col("r.n") - 1 + LENGTH).alias("end"))
-    return runs.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(span)).alias("list"))
+    found = cut(runs.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(span)).alias("list")))
+    del at, runs
+    release(docs.sparkSession)
+    return found
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
