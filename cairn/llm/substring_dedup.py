@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, release, text_or_empty
+from .common import cut, erase, pick, release, stored, text_or_empty
 from .induced import SuffixQueue
 from .shingles import mix
 
@@ -333,7 +333,7 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
         yield from flush()
 
     dealt = source.mapInArrow(pieces, "h long, piece binary, low long, high long").repartition("h").sortWithinPartitions("h", "piece")
-    least = cut(dealt.mapInArrow(sort_shards, "h long, digest long, runs array<struct<off:int,n:int,first:long>>"))
+    least, path = stored(dealt.mapInArrow(sort_shards, "h long, digest long, runs array<struct<off:int,n:int,first:long>>"))
     del dealt
     release(docs.sparkSession)
     at = source.mapInArrow(places, "h long, digest long, doc_id long, tie long, at long")
@@ -341,6 +341,7 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
     span = F.struct((F.col("at") + F.col("r.off")).alias("start"), (F.col("at") + F.col("r.off") + F.col("r.n") - 1 + LENGTH).alias("end"))
     found = cut(runs.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(span)).alias("list")))
     del at, runs
+    erase(docs.sparkSession, path)
     release(docs.sparkSession)
     return found
 
