@@ -5,8 +5,8 @@ one space, no outer punctuation) and digested. Digests are grouped globally, the
 occurrence with the smallest (doc_id, line number) is kept, and every other one is
 removed with its offsets in the original text.
 
-Lines under ``min_words`` words are never removed: short lines repeat by chance.
-The 16-byte digest stands for the line. A line that half the corpus repeats is an
+Every line with a word is a unit, whatever its length, so a passage set in short
+lines goes line by line; lines without words stay. The 16-byte digest stands for the line. A line that half the corpus repeats is an
 ordinary aggregation key, combined in each task before it is shuffled, and the
 ranks of its occurrences come back by a join that Spark can split.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, pick, text_or_empty
 
-MIN_WORDS = 20
+MIN_WORDS = 1
 OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -40,26 +40,30 @@ def line_digest(line: str, min_words: int = MIN_WORDS) -> bytes | None:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The occurrences to remove: doc_id, tie, line (number from 0), digest."""
+    """The occurrences to remove: doc_id, tie, line (number from 0), start, end (code points, with the line end), digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, line, digest = [], [], []
+            row, line, start, end, digest = [], [], [], [], []
             for i, t in enumerate(b.column(2)):
-                for k, x in enumerate(t.as_py().split("\n")):
+                text, at = t.as_py(), 0
+                for k, x in enumerate(text.split("\n")):
                     d = line_digest(x, min_words)
                     if d is not None:
                         row.append(i)
                         line.append(k)
+                        start.append(at)
+                        end.append(min(at + len(x) + 1, len(text)))
                         digest.append(d)
+                    at += len(x) + 1
             take = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(line, pa.int32()), pa.array(digest, pa.binary())], names=["doc_id", "tie", "line", "digest"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *[pa.array(c, pa.int32()) for c in (line, start, end)], pa.array(digest, pa.binary())], names=["doc_id", "tie", "line", "start", "end", "digest"])
 
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text"))
-    units = cut(source.mapInArrow(run, "doc_id long, tie long, line int, digest binary"))
+    units = cut(source.mapInArrow(run, "doc_id long, tie long, line int, start int, end int, digest binary"))
     at = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tie", "line")
     first = units.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("times")).where("times > 1").select("digest", "first")
-    return units.join(first, "digest").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "tie", "line", "digest")
+    return units.join(first, "digest").where(~at.eqNullSafe(F.col("first"))).select("doc_id", "tie", "line", "start", "end", "digest")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -69,20 +73,19 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     one before it.
     """
     gone = repeated_lines(docs, min_words)
-    marks = gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("__gone"))
+    marks = gone.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_set(F.struct("line", "start", "end"))).alias("__gone"))
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), "__gone")
     keyed = docs.withColumn("__t", F.xxhash64(text_or_empty())).withColumn("__d", F.col("doc_id").cast("long"))
     joined = keyed.join(marks, F.col("__d").eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__tie")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     has = F.col("__gone").isNotNull()
-    # Start of each line: code points of all lines before it and their ends.
-    sized = F.transform(lines, lambda x: F.length(x) + 1)
-    starts = F.aggregate(sized, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
-    spans = F.transform("__gone", lambda k: F.struct(F.get("__starts", k).alias("start"), F.least(F.get("__starts", k) + F.length(F.get("__lines", k)) + 1, F.length("text")).alias("end")))
-    joined = joined.withColumn("__lines", F.when(has, lines)).withColumn("__starts", F.when(has, starts))
-    kept = F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    spans = F.transform("__gone", lambda k: F.struct(k["start"].alias("start"), k["end"].alias("end")))
+    # The numbers of the other lines, by a set difference: linear in the lines, however many go.
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.transform("__gone", lambda k: k["line"]))
+    joined = joined.withColumn("__lines", F.when(has, lines)).withColumn("__rest", F.when(has, rest))
+    kept = F.array_join(F.transform("__rest", lambda k: F.get("__lines", k)), "\n")
     out = joined.withColumn("kept_text", F.when(has, kept).otherwise(F.col("text").cast("string"))).withColumn("removed", F.when(has, spans).otherwise(F.array().cast("array<struct<start:int,end:int>>")))
-    return out.drop("__t", "__d", "__id", "__tie", "__gone", "__lines", "__starts")
+    return out.drop("__t", "__d", "__id", "__tie", "__gone", "__lines", "__rest")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

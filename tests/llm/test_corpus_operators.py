@@ -137,6 +137,16 @@ def test_line_dedup(spark, docs):
                 assert left.rstrip("\n") == r.kept_text.rstrip("\n")
 
 
+def test_line_dedup_short_lines(spark):
+    """A repeated passage set in lines of 9 words goes from the later document; its other lines stay in place."""
+    passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(9)) for k in range(7))
+    df = spark.createDataFrame([(1, f"first\n\n{passage}\nend one"), (2, f"second é\n{passage}\n\nend two"), (3, passage)], "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert {i: r.kept_text for i, r in got.items()} == {1: got[1].text, 2: "second é\n\nend two", 3: ""}
+    assert [len(got[i].removed) for i in (1, 2, 3)] == [0, 7, 7]
+    assert "".join(got[2].text[s.start : s.end] for s in got[2].removed) == passage + "\n"
+
+
 def test_license_scan(spark, docs):
     mit = license_scan.LICENSES["MIT"]
     df = spark.createDataFrame([(1, "Copyright (c) 2020 A. Person\n\n" + mit.upper()), (2, mit.replace("sublicense", "sub-licence") + "\n"), (3, mit + " more"), (4, None), (5, "")], "doc_id long, text string")
