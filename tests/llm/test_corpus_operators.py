@@ -232,6 +232,20 @@ def test_quality(spark, docs, sf):
         assert not any(r.kept and r.base_failed for r in out)
 
 
+def test_quality_threshold(spark):
+    """Most rows of quality 0 that pass the base rules go, few of quality 1; labels that say nothing reject nothing."""
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    out = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")).collect()
+    kept = {q: [r.kept for r in out if not r.base_failed and labels.get(r.doc_id) == q] for q in (0, 1)}
+    assert len(kept[0]) > 20 and sum(kept[0]) <= 0.1 * len(kept[0]) and sum(kept[1]) >= 0.95 * len(kept[1])
+    rng = np.random.default_rng(0)
+    bad, good = rng.normal(5, 1, 300), rng.normal(15, 1, 3000)
+    noisy = quality.threshold(np.concatenate([good[90:], bad[:60]]), np.concatenate([bad[60:], good[:90]]))
+    assert (bad < noisy).mean() > 0.99 and (good >= noisy).mean() > 0.99
+    assert quality.threshold(np.arange(50.0), np.arange(50.0)) == quality.threshold(good, bad[:0]) == float("-inf")
+
+
 def brute_spans(rows, length=50):
     first = {}
     for i, t in rows:
