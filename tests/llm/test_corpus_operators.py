@@ -155,6 +155,33 @@ def test_license_scan(spark, docs):
         assert license_scan.scan(table).count() == table.count()
 
 
+def test_license_scan_real_files(spark):
+    """Wrapped texts with titles and holders, and the long licences; near misses and concatenations stay unknown."""
+    import textwrap
+
+    full = dict(license_scan.texts())
+    # Statements of copyright are lines of their own in real files; all other paragraphs are wrapped anew.
+    wrap = lambda t, n: "\n".join((x if re.search(r"(?i)copyright (\(c\)|\[)", x) else textwrap.fill(" ".join(x.split()), n)) + "\n" for x in t.split("\n\n"))
+    rows, want = [], {}
+
+    def add(text, license):
+        want[len(rows)] = license
+        rows.append((len(rows), text))
+
+    for n in (40, 60, 72, 79, 200):
+        for name, title in (("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("Zlib", "zlib License")):
+            add(f"# {title}\n\nCopyright (c) 2015-2020, A. Person <a@b.c>\nAll rights reserved.\n\n{wrap(license_scan.LICENSES[name], n)}", name)
+        add("BSD 3-Clause License\n\n" + wrap(full["BSD-3-Clause"].replace("University", "Example Org"), n), "BSD-3-Clause")
+        for name in ("Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "Unlicense", "BSD-2-Clause"):
+            add(wrap(full[name], n), name)
+    add(full["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 Somebody"), "Apache-2.0")
+    add(full["Apache-2.0"].split("   END OF TERMS")[0], "Apache-2.0")
+    add(full["Apache-2.0"] + license_scan.LICENSES["MIT"], None)
+    add(license_scan.LICENSES["MIT"].replace("WITHOUT WARRANTY", "WITH WARRANTY"), None)
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_url_filter(spark):
     urls = ["https://a.Example.ORG/es/1", "http://example.org/en/12?x", "http://org", "http://org/", "ftp://notexample.org/en/1", "http://x.com/fr/#y", "http://com/de/", "no url", "", None, "http://example.org?/es/", "http://u@b.example.org:80/es/", "http://example.org./es/"] * 2
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[0], "h")], "page_id long, url string, host string")
