@@ -25,13 +25,15 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pick
+from .common import cut, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_COPIES = 3
 #: Children of a node of the reduction tree: rows that one fold sees.
 FAN = 64
-STEP = "struct<doc_id:bigint,part:bigint,rate:double,hold:bigint,draw:double>"
+STEP = "struct<doc_id:bigint,tie:bigint,part:bigint,rate:double,hold:bigint,draw:double,row:bigint>"
+#: What identifies an item: tie is the hash of its text, so that rows without a doc_id are spread; row is the caller's key, if any.
+KEY = ("doc_id", "tie", "row")
 
 
 def word_count(name: str = "text") -> Column:
@@ -92,7 +94,13 @@ def _fold(items: Column) -> Column:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 17) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, copies."""
-    rows = pick(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size"))
+    return _mix(docs, F.lit(None), weights, most, seed).drop("row")
+
+
+def _mix(docs: DataFrame, row: Column, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_COPIES, seed: int = 17) -> DataFrame:
+    """``mix`` with a further column row: the given key of each row of ``docs``."""
+    key = row.cast("long").alias("row")
+    rows = docs.select(key, F.col("`doc_id`").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), F.col("`source`").cast("string").alias("source"), word_count().alias("size"))
     rows = cut(rows)
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sources.select("source", "source_size"), weights, most)
@@ -104,43 +112,45 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     per = plan.select("source", "part", "n", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("rate"))
     items = rows.join(per, F.col("source_l").eqNullSafe(per.source)) if "source_l" in rows.columns else rows.withColumnRenamed("source", "source_l").join(per, F.col("source_l").eqNullSafe(per.source))
     # Documents without words, and sources whose rate is whole, are settled at once.
-    live = items.where("size > 0 AND rate > 0").select("doc_id", "part", "rate", F.col("size").alias("hold"), "n")
-    settled = items.where("NOT (size > 0 AND rate > 0)").select("doc_id", "part", F.lit(0.0).alias("rate"), F.col("size").alias("hold"))
+    live = items.where("size > 0 AND rate > 0").select(*KEY, "part", "rate", F.col("size").alias("hold"), "n")
+    settled = items.where("NOT (size > 0 AND rate > 0)").select(*KEY, "part", F.lit(0.0).alias("rate"), F.col("size").alias("hold"))
     outs = [settled]
     for level in range(levels):
-        h = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "hold")
-        draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "hold"), F.lit(1 << 52)) / float(1 << 52)
+        h = F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "hold", "tie")
+        draw = F.pmod(F.xxhash64(F.lit(seed + 1), F.lit(level), "doc_id", "hold", "tie"), F.lit(1 << 52)) / float(1 << 52)
         blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(float((FAN / 2) ** (level + 1))))) if level + 1 < levels else F.lit(1)
         keyed = live.withColumn("block", F.pmod(h, blocks)).withColumn("draw", draw)
-        one = F.struct("doc_id", "part", "rate", "hold", "draw")
+        one = F.struct("doc_id", "tie", "part", "rate", "hold", "draw", "row")
         grouped = keyed.groupBy("part", "block").agg(F.array_sort(F.collect_list(F.struct(-F.col("hold"), F.col("draw"), one.alias("one")))).alias("list"), F.max("n").alias("n"))
         folded = cut(grouped.select("n", _fold(F.transform("list", lambda e: e["one"])).alias("f")))
-        outs.append(folded.select(F.explode("f.done").alias("d")).select("d.doc_id", "d.part", "d.rate", "d.hold"))
+        outs.append(folded.select(F.explode("f.done").alias("d")).select(*[f"d.{k}" for k in KEY], "d.part", "d.rate", "d.hold"))
         left = folded.select("n", "f.left.*")
         if level + 1 == levels:
             # One document a source may still be fractional: the nearer of 0 and 1.
-            outs.append(left.select("doc_id", "part", F.round("rate").alias("rate"), "hold"))
+            outs.append(left.select(*KEY, "part", F.round("rate").alias("rate"), "hold"))
         else:
-            outs.append(left.where("rate = 0 OR rate = 1").select("doc_id", "part", "rate", "hold"))
-            live = left.where("rate > 0 AND rate < 1").select("doc_id", "part", "rate", "hold", "n")
+            outs.append(left.where("rate = 0 OR rate = 1").select(*KEY, "part", "rate", "hold"))
+            live = left.where("rate > 0 AND rate < 1").select(*KEY, "part", "rate", "hold", "n")
     done = outs[0]
     for o in outs[1:]:
         done = done.union(o)
     sized = plan.select(F.col("part"), "source_size", "target", F.floor("rate").cast("long").alias("whole"))
     copies = F.col("whole") + F.col("d_rate").cast("long")
     out = done.withColumnRenamed("rate", "d_rate").join(sized, "part")
-    return out.select("doc_id", F.col("hold").alias("size"), "source_size", "target", (copies * F.col("hold")).alias("taken"), copies.alias("copies"))
+    return out.select("row", "doc_id", F.col("hold").alias("size"), "source_size", "target", (copies * F.col("hold")).alias("taken"), copies.alias("copies"))
 
 
 def take_mix(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` as the mix holds them: each row once for every copy, with size, copies, taken and target.
 
-    Rows are matched by doc_id and size, so documents that the mix leaves out are gone.
-    Rows that repeat a doc_id with one size share the copies of the smallest; rows
-    without a doc_id are left out.
+    Each row gets its own copies, with or without a doc_id and however often that
+    repeats: rows are numbered in a cut of ``docs``, and matched by their numbers.
     """
     extra = [c for c in ("size", "copies", "taken", "target", "copy") if c in docs.columns]
-    sized = docs.drop(*extra).withColumn("size", word_count())
-    chosen = mix(docs, **parameters).where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id", "size").agg(F.min("copies").alias("copies"), F.min("taken").alias("taken"), F.min("target").alias("target"))
-    got = sized.join(chosen, ["doc_id", "size"])
+    numbered = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    chosen = _mix(numbered, F.col("__row"), **parameters).where("copies > 0").select(F.col("row").alias("__row"), "size", "copies", "taken", "target")
+    got = numbered.drop(*extra).join(chosen, "__row")
+    # Columns as before: the key, the other columns of the documents, then the mix's.
+    names = [c for c in docs.columns if c not in ("doc_id", *extra)]
+    got = got.select("doc_id", "size", *[F.col(f"`{c}`") for c in names], "copies", "taken", "target")
     return got.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

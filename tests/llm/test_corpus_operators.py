@@ -353,6 +353,23 @@ def test_mix_is_materialised(spark, docs):
     assert out and all(r.n == r.copies for r in out)
 
 
+def test_mix_takes_every_row(spark):
+    """Rows without or with repeated doc_ids have copies of their own: what is taken meets the target."""
+    rows = [(None if i % 3 == 0 else i // 4 if i % 3 == 1 else i, " ".join(f"w{i}x{k}" for k in range(10 + i % 2)), f"s{i % 3 + i % 2}") for i in range(600)]
+    df = spark.createDataFrame(rows + rows[:30], "doc_id long, text string, source string")
+    sizes, taken = Counter(), Counter()
+    for _, t, s in rows + rows[:30]:
+        sizes[s] += len(t.split())
+    out = mixing.take_mix(df).collect()
+    for r in out:
+        assert r.size == len(r.text.split()) and 1 <= r.copy <= r.copies
+        taken[r.source] += r.size
+    assert all(abs(taken[s] - target) <= 11 for s, target in brute_targets(sizes).items())
+    assert any(r.doc_id is None for r in out)
+    again = mixing.take_mix(df.repartition(5)).groupBy("doc_id", "text", "source").count()
+    assert Counter(map(tuple, again.collect())) == Counter((*k, n) for k, n in Counter((r.doc_id, r.text, r.source) for r in out).items())
+
+
 @pytest.mark.parametrize("budget", [60, 400, 1 << 20])
 def test_suffix_queue_least_owner(budget):
     rng = np.random.default_rng(1)
