@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, keep_ids, pick
+from .common import BROADCAST_IDS, components, cut, keep_ids, pick, text_or_empty
 from .shingles import Words, mix, shingle_set
 
 BINS, ROWS = 200, 5
@@ -276,12 +276,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest doc_id.
+    """The documents that stay: of each component the one with the smallest doc_id, as one row.
 
-    Rows without a doc_id stay, since nothing identifies them; of rows that repeat a
-    doc_id one stays, whichever Spark meets first (they have equal ids, and equal rows are equal).
+    A document is a doc_id with a text (its digest): rows that repeat both are one, and
+    one of them stays; texts that share a doc_id are judged each by itself, in the
+    order of their digests. Rows without a doc_id stay, since nothing identifies them.
     """
-    gone = near_duplicates(docs, percent).where("doc_id IS NOT NULL AND NOT kept").select("doc_id").distinct()
+    key = [F.col("doc_id").cast("long").alias("__d"), F.xxhash64(text_or_empty()).alias("__t")]
+    times = cut(pick(docs, "doc_id", "text").where("doc_id IS NOT NULL").select(*key).groupBy("__d", "__t").agg(F.count("*").alias("times")))
+    n_docs, n_ids, most = times.agg(F.count("*"), F.countDistinct("__d"), F.max("times")).first()
+    keyed = docs.withColumns(dict(zip(("__d", "__t"), key)))
+    if n_docs == n_ids:
+        gone = near_duplicates(docs, percent).where("doc_id IS NOT NULL AND NOT kept").select(F.col("doc_id").alias("__d")).distinct()
+        on = ["__d"]
+    else:
+        # Some ids hold several texts: each document gets a number of its own, in the order of the ids.
+        nodes = cut(times.orderBy("__d", "__t").select("__d", "__t", F.monotonically_increasing_id().alias("node")))
+        texts = cut(keyed.join(F.broadcast(nodes) if n_docs <= BROADCAST_IDS else nodes.hint("merge"), ["__d", "__t"]).select(F.col("node").alias("doc_id"), "text"))
+        lost = near_duplicates(texts, percent).where("NOT kept").select(F.col("doc_id").alias("node")).distinct()
+        gone, on = cut(nodes.join(lost, "node").select("__d", "__t")), ["__d", "__t"]
     n = gone.count()
-    left = docs.join(F.broadcast(gone) if n <= 400_000 else gone.hint("merge"), "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    left = keyed.join(F.broadcast(gone) if n <= BROADCAST_IDS else gone.hint("merge"), on, "left_anti")
+    if (most or 0) > 1:
+        again = times.where("times > 1").select("__d", "__t", F.lit(True).alias("__again"))
+        marked = left.join(again, ["__d", "__t"], "left")
+        left = marked.where("__again IS NULL").unionByName(marked.where("__again").dropDuplicates(["__d", "__t"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

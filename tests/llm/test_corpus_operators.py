@@ -105,6 +105,19 @@ def test_near_duplicates_without_one_original(spark, size):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(low))
 
 
+def test_drop_near_duplicates_repeated_rows(spark):
+    """Equal rows leave one; of two texts with one doc_id only the near copy goes."""
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(80))
+    rows = [(1, text("a"), "x"), (1, text("a"), "x"), (2, text("a") + " end", "x"), (2, text("b"), "y"), (3, text("c"), "y"), (3, text("c"), "y"), (None, text("d"), "z"), (4, None, "z"), (4, None, "z")]
+    want = Counter([(1, text("a")), (2, text("b")), (3, text("c")), (4, None), (None, text("d"))])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = near_dedup.drop_near_duplicates(df)
+    assert out.columns == df.columns and Counter(rows_of(out)) == want
+    # Repeated rows alone, without several texts to an id.
+    df = df.where("NOT (doc_id = 2 AND source = 'x') OR doc_id IS NULL")
+    assert Counter(rows_of(near_dedup.drop_near_duplicates(df))) == want
+
+
 def test_token_counts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
