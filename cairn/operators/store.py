@@ -64,22 +64,23 @@ def related(relations: DataFrame, ids: DataFrame, most: int = 2) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).drop("rank")
 
 
-def chains(links: DataFrame, most: int = 100) -> DataFrame:
+def chains(links: DataFrame) -> DataFrame:
     """(id, root, depth) along ``links`` (id, supersedes): how far each record's chain goes back.
 
-    Pointer doubling: each round joins the table to itself, so a chain of n records
-    takes log n rounds. Cycles end once ``most`` steps are reached; their records get some record of the cycle.
+    Pointer doubling until no pointer moves: a chain of n records takes log n rounds,
+    whatever n. A row whose target is at its root is done and joins no more. What
+    still moves after so many rounds that any chain had ended leads into a cycle:
+    such records get some record of the cycle and a null depth.
     """
-    now = _cut(links.select("id", F.col("supersedes").alias("at"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    reach = 1
-    while reach < most:
-        up = now.select(F.col("id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"))
-        now = _cut(now.join(up, "at", "left").select("id", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("up").isNotNull().alias("moved")))
-        if now.where("moved").isEmpty():
+    now = _cut(links.select("id", F.col("supersedes").alias("at"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("supersedes").isNotNull().alias("live")))
+    rounds = now.count().bit_length() + 1
+    for _ in range(rounds):
+        if now.where("live").isEmpty():
             break
-        now = now.drop("moved")
-        reach *= 2
-    return now.select("id", F.coalesce("at", "id").alias("root"), "depth")
+        up = now.where("at IS NOT NULL").select(F.col("id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("live").alias("on"))
+        moved = now.where("live").join(up, "at", "left").select("id", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("live"))
+        now = _cut(now.where("NOT live").union(moved))
+    return now.select("id", F.coalesce("at", "id").alias("root"), F.when(~F.col("live"), F.col("depth")).alias("depth"))
 
 
 def _cut(df: DataFrame) -> DataFrame:

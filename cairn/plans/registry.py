@@ -294,7 +294,7 @@ def fake_sources(spark, sf):
 def supersession_chain(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     links = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.lag("event_id").over(w).alias("supersedes"))
-    return store.chains(links, most=4096)
+    return store.chains(links)
 
 
 @query(f"WITH {RELATIONS}, b AS (SELECT source_id AS id, target_id AS other, rank FROM relations UNION ALL SELECT target_id, source_id, rank FROM relations), f AS (SELECT id, other, min(rank) AS r FROM b GROUP BY 1, 2) SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY r, other) AS place FROM f QUALIFY place <= 2")

@@ -42,6 +42,15 @@ def test_store(spark):
     assert all(got[i] == (0, i) for i in range(20)) and 50 in got
 
 
+def test_long_chain(spark):
+    """A chain of more than 4,096 records reaches its root; records that lead into a cycle have no depth."""
+    n = 9_000
+    links = spark.range(n).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS supersedes").union(spark.createDataFrame([(n, n + 1), (n + 1, n), (n + 2, n)], "id long, supersedes long"))
+    got = {r.id: (r.root, r.depth) for r in store.chains(links).collect()}
+    assert len(got) == n + 3 and all(got[i] == (0, i) for i in range(n))
+    assert all(got[i][0] in (n, n + 1) and got[i][1] is None for i in range(n, n + 3))
+
+
 def test_assisted(spark):
     rec = spark.createDataFrame([(1, {"serial_number": "SN-1001"}, 1), (2, {"serial_number": "SN-1001"}, 2), (3, {"serial_number": "SN-1002", "commit_sha": "a1b2c3d4e5" * 4}, 3)], "id long, metadata map<string,string>, created_at long")
     q = spark.createDataFrame([(1, "serial SN-1002"), (2, "serial SN-1001"), (3, "serial SN-9999"), (4, "commit a1b2c3d")], "query_id long, query string")
