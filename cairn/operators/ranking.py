@@ -44,6 +44,14 @@ def clues(query: Column) -> dict[str, Column]:
     return out | {"type_hint": hint}
 
 
+#: The same with Unicode-aware word boundaries and spaces: Java's ``\\b`` knows ASCII words only.
+UNICODE_ENTITY = r"(?<![\p{L}\p{N}_])([A-ZÀ-Ú][a-zà-ú]+(?:(?U:[\s\x1C-\x1F])+[A-ZÀ-Ú][a-zà-ú]+)*)(?![\p{L}\p{N}_])"
+
+
+def all_entities(query: Column) -> Column:
+    return F.regexp_extract_all(query, F.lit(UNICODE_ENTITY), F.lit(1))
+
+
 def entities(query: Column) -> Column:
     return F.regexp_extract_all(query, F.lit(ENTITY), F.lit(1))
 

@@ -51,6 +51,21 @@ def test_long_chain(spark):
     assert all(got[i][0] in (n, n + 1) and got[i][1] is None for i in range(n, n + 3))
 
 
+def test_entity_spans_all(spark):
+    """Every item has its row, with the spans that Python's regular expressions find."""
+    import re
+
+    from cairn.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    assert any(not r.text.isascii() for r in items)
+    got = {r.item_id: r.n_entities for r in registry.QUERIES["entity_spans_all"](spark, sf).collect()}
+    assert got == {r.item_id: len(re.findall(ranking.ENTITY, r.text)) for r in items}
+    for v in ("Água Évora e São Paulo", "éAbc Nãoß Über", "Ação\u00a0Já x_Abc Abc1 Abc", "A b", "Zé\nÍris"):
+        assert one(spark, ranking.all_entities, v) == re.findall(ranking.ENTITY, v)
+
+
 def test_assisted(spark):
     rec = spark.createDataFrame([(1, {"serial_number": "SN-1001"}, 1), (2, {"serial_number": "SN-1001"}, 2), (3, {"serial_number": "SN-1002", "commit_sha": "a1b2c3d4e5" * 4}, 3)], "id long, metadata map<string,string>, created_at long")
     q = spark.createDataFrame([(1, "serial SN-1002"), (2, "serial SN-1001"), (3, "serial SN-9999"), (4, "commit a1b2c3d")], "query_id long, query string")
