@@ -8,7 +8,9 @@ are induced bucket by bucket. A whole bucket front is one vector operation.
 ``SuffixQueue`` is the external part: blocks that fit the memory budget are sorted
 so, and if there is more than one, their suffix tuples (key bytes, owner, text
 number, place) go to sorted runs on the task's own disk and leave it through a
-priority queue, each with the length it has in common with its predecessor.
+priority queue, which compares whole keys. Left out of the usual method: the length a
+tuple has in common with its predecessor isn't computed or carried, and induction
+doesn't cross a spilled run.
 """
 
 from __future__ import annotations
