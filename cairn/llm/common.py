@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Ids up to this many are broadcast (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 400_000
+#: Spark's setting that deletes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,26 +28,32 @@ def _folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Like ``cut`` by a Parquet table in that folder, which takes less room for many short rows; ``erase`` its path when done."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """Like ``cut`` by a Parquet table in that folder, which takes less room for many short rows; ``erase`` its path when done.
 
-
-def erase(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    The shuffle files behind the table are deleted as soon as it is written: it takes their place.
+    """
+    spark = df.sparkSession
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of frames that nothing refers to any more, such as those behind a cut."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def erase(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, n_ids: int | None = None) -> DataFrame:
@@ -91,10 +98,13 @@ def components(edges: DataFrame, u: str = "a", v: str = "b", max_rounds: int = 6
         moved = df.join(least, "hi").where("lo <> low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
         return moved.union(least.select("hi", F.col("low").alias("lo"))).distinct()
 
-    now = cut(now)
+    spark = edges.sparkSession
+    now, path = stored(now)
     before = state(now)
     for _ in range(max_rounds):
-        now = cut(small_star(large_star(now)))
+        new, new_path = stored(small_star(large_star(now)))
+        erase(spark, path)
+        now, path = new, new_path
         after = state(now)
         if after == before:
             break

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, erase, pick, release, stored, text_or_empty
+from .common import erase, pick, stored, text_or_empty
 from .induced import SuffixQueue
 from .shingles import mix
 
@@ -215,7 +215,7 @@ def _filter(source: DataFrame, bits_limit: int) -> tuple[bytes, int, int]:
             yield shared()
 
     blocks = source.mapInArrow(hashes, "bucket int, one binary, many binary").repartition("bucket").sortWithinPartitions("bucket")
-    shared = cut(blocks.mapInArrow(together, "bucket int, hashes binary"))
+    shared, path = stored(blocks.mapInArrow(together, "bucket int, hashes binary"))
     n = (shared.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
     bits = max(8 * buckets, min(bits_limit, 1 << max(1, 12 * n).bit_length()))
     slice_ = bits // buckets
@@ -231,6 +231,7 @@ def _filter(source: DataFrame, bits_limit: int) -> tuple[bytes, int, int]:
     out = bytearray(bits // 8)
     for r in shared.mapInArrow(slices, "bucket int, bits binary").toLocalIterator():
         out[r["bucket"] * slice_ // 8 : (r["bucket"] + 1) * slice_ // 8] = r["bits"]
+    erase(source.sparkSession, path)
     return bytes(out), buckets, bits
 
 
@@ -238,7 +239,6 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
     """(doc_id, tie, list): for each document with something to remove, its covered byte ranges, unmerged."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"), text_or_empty().alias("text")).where(f"doc_id IS NOT NULL AND octet_length(text) >= {LENGTH}")
     filled, buckets, bits = _filter(source, bits_limit)
-    release(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(filled)
 
     def passing(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -333,16 +333,13 @@ def spans(docs: DataFrame, bits_limit: int = FILTER_BITS, shard: int = SHARD) ->
         yield from flush()
 
     dealt = source.mapInArrow(pieces, "h long, piece binary, low long, high long").repartition("h").sortWithinPartitions("h", "piece")
+    # Each table's shuffle files go when it is written, so no two phases' files lie on the disks together.
     least, path = stored(dealt.mapInArrow(sort_shards, "h long, digest long, runs array<struct<off:int,n:int,first:long>>"))
-    del dealt
-    release(docs.sparkSession)
     at = source.mapInArrow(places, "h long, digest long, doc_id long, tie long, at long")
     runs = at.join(least, ["h", "digest"]).select("doc_id", "tie", "at", F.explode("runs").alias("r")).where("r.first < doc_id")
     span = F.struct((F.col("at") + F.col("r.off")).alias("start"), (F.col("at") + F.col("r.off") + F.col("r.n") - 1 + LENGTH).alias("end"))
-    found = cut(runs.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(span)).alias("list")))
-    del at, runs
+    found, _ = stored(runs.groupBy("doc_id", "tie").agg(F.array_sort(F.collect_list(span)).alias("list")))
     erase(docs.sparkSession, path)
-    release(docs.sparkSession)
     return found
 
 
