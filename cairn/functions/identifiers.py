@@ -84,6 +84,15 @@ def cli_option(v: Column) -> Column:
     return F.lower(F.replace(F.regexp_replace(F.trim(v), "^-+", ""), F.lit("-"), F.lit("_")))
 
 
+def symbols_match(a: Column, b: Column) -> Column:
+    """Whether two symbols have a form in common."""
+    return F.arrays_overlap(symbol_forms(a), symbol_forms(b))
+
+
+def cli_options_match(a: Column, b: Column) -> Column:
+    return cli_option(a) == cli_option(b)
+
+
 def paths_match(q: Column, s: Column) -> Column:
     """Equal paths, equal file names, or one the end of the other."""
     a, b = F.lower(path(q)), F.lower(path(s))

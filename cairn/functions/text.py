@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ VERB = (
 )
 VOWEL = (("e", 4, ""), ("a", 4, ""), ("o", 4, ""))
 STEPS = (PLURAL, FEMININE, ADVERB, SIZE, NOUN, NOUN, NOUN, NOUN, NOUN, VERB, VOWEL)
+ENDS = [tuple(r[0] for r in step) for step in STEPS]
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 
@@ -72,7 +76,28 @@ def stem_sql(table: str, word: str = "t") -> str:
     return ", ".join(out) + f", stems AS (SELECT t, s FROM v{len(STEPS)})"
 
 
+def stem_word(word: str) -> str:
+    """``stem`` of one word."""
+    if len(word) <= 2:
+        return word
+    for step, ends in zip(STEPS, ENDS):
+        if word.endswith(ends):
+            for suffix, least, put in step:
+                if len(word) >= least and word.endswith(suffix) and len(word) - len(suffix) + len(put) >= 3:
+                    word = word[: len(word) - len(suffix)] + put
+                    break
+    return word
+
+
 def stems(words: DataFrame, column: str) -> DataFrame:
-    """``words`` with a column ``stem``: each distinct word is stemmed once and joined back."""
-    known = words.select(column).distinct().withColumn("stem", stem(F.col(column)))
+    """``words`` with a column ``stem``: each distinct word is stemmed once, in Arrow batches, and joined back.
+
+    The fold of ``stem`` is interpreted rule by rule; over a whole vocabulary plain Python is several times faster.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if w is None else stem_word(w) for w in b.column(0).to_pylist()], pa.string())], names=[column, "stem"])
+
+    known = words.select(column).distinct().mapInArrow(run, f"`{column}` string, stem string")
     return words.join(known, column)

@@ -118,7 +118,8 @@ def ranked(scored: DataFrame, pool: int = POOL) -> DataFrame:
     order = [F.desc("final"), F.desc("identifier"), F.desc("created_at"), F.asc("id")]
     w = Window.partitionBy("query_id").orderBy(*order)
     best = scored.where("final > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= pool)
-    group = F.coalesce("source_path", "id") if "source_path" in scored.columns else F.col("id")
+    own = F.concat(F.lit("id "), F.col("id").cast("string"))
+    group = F.coalesce(F.concat(F.lit("path "), F.col("source_path")), own) if "source_path" in scored.columns else own
     best = best.withColumn("__g", group)
     g = Window.partitionBy("query_id", "__g")
     best = best.withColumns({"segments": F.count("*").over(g).cast("long"), "__first": F.row_number().over(g.orderBy("rank"))}).where("__first = 1")
@@ -132,7 +133,7 @@ def states(ranking: DataFrame, queries: DataFrame, has_dimension: DataFrame | No
         F.max(F.when(F.col("rank") == 1, F.col("final"))).alias("best"), F.max(F.when(F.col("rank") == 2, F.col("final"))).alias("second"),
         F.max(F.when(F.col("rank") == 1, exact)).alias("e1"), F.max(F.when(F.col("rank") == 2, exact)).alias("e2"),
     )
-    j = queries.select("query_id").join(top, "query_id", "left")
+    j = queries.select("query_id", *(["spent"] if "spent" in queries.columns else [])).join(top, "query_id", "left")
     asks = F.lit(False)
     if has_dimension is not None:
         j = j.join(has_dimension.select("query_id", F.lit(True).alias("asks")), "query_id", "left")

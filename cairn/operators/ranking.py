@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .store import capped_degree, cut, degree, newest
 
 # Weights, thresholds and words of the hybrid ranking.
 WEIGHTS = {"lexical": 1.0, "semantic": 0.4, "type": 0.3, "relation": 0.4, "state": 0.6, "project": 0.6}
@@ -31,7 +32,7 @@ TYPE_KEYS = (
 )
 STATE = {"verified": 0.15, "partially_verified": 0.05, "obsolete": -0.30, "superseded": -0.30, "contradicted": -0.25}
 ENTITY = r"\b([A-ZÀ-Ú][a-zà-ú]+(?:\s+[A-ZÀ-Ú][a-zà-ú]+)*)\b"
-ABLATIONS = {"full": {}, "no_semantic": {"semantic": 0.0}, "no_graph": {"relation": 0.0}, "no_typing": {"type": 0.0}, "no_state": {"state": 0.0}}
+ABLATIONS = {"full": {}, "no_semantic": {"semantic": 0.0}, "no_graph": {"relation": 0.0}, "no_temporal": {"temporal": 0.0}, "no_typing": {"type": 0.0}, "no_state": {"state": 0.0}, "no_checkpoint_boost": {"bonus": 0.0}}
 
 
 def clues(query: Column) -> dict[str, Column]:
@@ -90,10 +91,11 @@ def lexical(docs: DataFrame, queries: DataFrame, d: str, q: str, k: int = TOP) -
     return top(o.withColumn("score", F.col("shared") / (F.col("nd") + F.col("nq") - F.col("shared"))), q, "score", k, F.asc(d)).select(q, d, "score", "rank")
 
 
-def weighted(index: DataFrame, idf: DataFrame, key: str) -> DataFrame:
-    """(key, term, w): tf-idf, each key's vector of length 1."""
+def weighted(index: DataFrame, idf: DataFrame, key: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(key, term, w): tf-idf, each key's vector of length 1; only the ``wanted`` terms of it, if given."""
     w = index.join(idf.select("term", "idf"), "term").withColumn("x", F.col("tf") * F.col("idf"))
     norm = w.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    w = w if wanted is None else w.join(wanted, "term", "left_semi")
     return w.join(norm, key).select(key, "term", (F.col("x") / F.when(F.col("norm") == 0, 1.0).otherwise(F.col("norm"))).alias("w"))
 
 
@@ -118,76 +120,134 @@ def keyword_hits(content: Column, keys: list[str]) -> Column:
     return F.least(hits, F.lit(3))
 
 
-def intent_bonus(kind: Column, status: Column, decision: Column, supersedes: Column, superseded_by: Column, content: Column) -> Column:
-    """Checkpoint boost and what a query's intents add; null states count as no state."""
+def intent_bonus(kind: Column, status: Column, decision: Column, replaces: Column, replaced: Column, action_hits: Column, risk_hits: Column, boost: bool = True) -> Column:
+    """Checkpoint boost and what a query's intents add; null states count as no state. ``replaces`` and ``replaced`` say whether such a record is named."""
     is_ = lambda c, *v: F.coalesce(c.isin(*v), F.lit(False))
     old = is_(status, "obsolete", "superseded")
     gone, active = is_(decision, "superseded"), is_(decision, "active")
-    check = F.when(kind == "checkpoint", F.when(F.col("next_action"), 0.25).otherwise(0.10)).otherwise(0.0)
-    past = F.when(old | gone, 0.40).otherwise(0.0) + F.when(superseded_by.isNotNull(), 0.05).otherwise(0.0) - F.when(is_(status, "verified") & supersedes.isNull(), 0.10).otherwise(0.0) - F.when(active, 0.15).otherwise(0.0)
+    check = F.when(kind == "checkpoint", F.when(F.col("next_action"), 0.25).otherwise(0.10)).otherwise(0.0) if boost else F.lit(0.0)
+    past = F.when(old | gone, 0.40).otherwise(0.0) + F.when(replaced, 0.05).otherwise(0.0) - F.when(is_(status, "verified") & ~replaces, 0.10).otherwise(0.0) - F.when(active, 0.15).otherwise(0.0)
     now = F.when(is_(status, "verified"), 0.12).otherwise(0.0) + F.when(active, 0.30).otherwise(0.0) - F.when(old, 0.15).otherwise(0.0) - F.when(gone, 0.30).otherwise(0.0)
     return (
         check + F.when(F.col("historical"), past).when(F.col("current"), now).otherwise(0.0)
-        + F.when(F.col("next_action"), keyword_hits(content, ACTION_KEYS) * 0.15).otherwise(0.0)
-        + F.when(F.col("risk") | F.col("blocker"), keyword_hits(content, RISK_KEYS) * 0.15).otherwise(0.0)
+        + F.when(F.col("next_action"), action_hits * 0.15).otherwise(0.0)
+        + F.when(F.col("risk") | F.col("blocker"), risk_hits * 0.15).otherwise(0.0)
     )
 
 
+def temporal(as_of: Column, start: Column, end: Column) -> Column:
+    """The temporal channel, which has no weight unless one is given: 0.1 once started, 0.05 less when over."""
+    return F.when(end.isNotNull() & (end < as_of), -0.05).otherwise(0.0) + F.when(start.isNotNull() & (start <= as_of), 0.1).otherwise(0.0)
+
+
+def entity_score(query: Column, terms_: Column) -> Column:
+    """The entity channel, off unless it has a weight: 0.3 for each (entity of the query, entity of the record) of which one holds the other, 1 at most."""
+    low = lambda a: F.transform(F.coalesce(a, F.array().cast("array<string>")), F.lower)
+    hits = F.flatten(F.transform(low(all_entities(query)), lambda e: F.transform(low(terms_), lambda t: F.contains(t, e) | F.contains(e, t))))
+    return F.least(F.lit(1.0), F.size(F.filter(hits, lambda h: h)) * 0.3)
+
+
 def total(weights: dict[str, float]) -> Column:
-    out = F.col("bonus")
+    """The weighted sum; a weight of 0 for ``bonus`` takes the checkpoint boost away, one for a channel without a column counts nothing."""
+    weights = {k: w for k, w in weights.items() if k != "temporal" or w}
+    out = F.col("bonus" if weights.get("bonus", 1.0) else "bonus_no_boost")
+    weights = {k: w for k, w in weights.items() if k != "bonus"}
     for name, w in weights.items():
         out = out + F.col(name) * F.lit(w)
     return F.round(out, 6)
 
 
-def hybrid_channels(records: DataFrame, index: DataFrame, relations: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
-    """Every channel of every candidate: pairs that share a term, and for the others the best k by their prior.
+FLAGS = ("historical", "current", "next_action", "risk", "blocker", "type_hint")
+#: All that a score without a shared term depends on, besides the project.
+CLASS = ("type", "status", "decision_status", "replaces", "replaced", "relation", "action_hits", "risk_hits")
 
-    A pair without a shared term scores by the record and the query's flags and
-    hints alone, so the best k of each distinct signature are all that any of its
-    queries can need. Signatures are few (flags, hints) and the side that is small.
-    """
-    flags = ["historical", "current", "next_action", "risk", "blocker", "type_hint", "project_id_q"]
-    q = queries.select("query_id", "query", F.col("project_id").alias("project_id_q"), *[c.alias(n) for n, c in clues(F.col("query")).items()])
-    from .store import capped_degree, degree
-
-    r = records.join(degree(relations).withColumnRenamed("id", "rid"), records.id == F.col("rid"), "left").drop("rid").withColumn("relation", capped_degree(F.col("degree"), 0.5))
-    idf = document_frequency(index, "id", F.lit(float(records.count())))
-    qi = terms(queries, "query_id", "query").persist()
-    dv, qv = weighted(index, idf, "id"), weighted(qi, idf, "query_id")
-    lex = overlap(index, qi, "id", "query_id").withColumn("lexical", F.col("shared") / (F.col("nd") + F.col("nq") - F.col("shared")))
-    pairs = lex.join(cosine(dv, qv, "id", "query_id"), ["query_id", "id"]).select("query_id", "id", "lexical", "shared", F.col("cosine").alias("semantic"))
-    prior = with_priors(r, q.select(*flags).distinct().withColumn("__one", F.lit(1)))
-    w = Window.partitionBy(*flags).orderBy(F.desc("prior"), F.desc("created_at"), F.asc("id"))
-    # k of those without a shared term are wanted; the k + matches best of all hold them, so matches are counted per signature.
-    matches = pairs.join(q, "query_id").groupBy("query_id", *flags).agg(F.count("*").alias("m")).groupBy(*flags).agg(F.max("m").alias("m"))
-    best = prior.withColumn("p", F.row_number().over(w))
-    same = F.lit(True)
-    for c in flags:
-        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"m.{c}"))
-    best = best.alias("b").join(F.broadcast(matches.alias("m")), same, "left").where(F.col("p") <= k + F.coalesce("m.m", F.lit(0))).select("b.id", *[F.col(f"b.{c}").alias(c) for c in flags])
-    join = F.lit(True)
-    for c in flags:
-        join = join & q[c].eqNullSafe(best[c])
-    rest = q.join(best, join).select("query_id", "id", F.lit(0.0).alias("lexical"), F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("semantic"))
-    all_ = pairs.unionByName(rest.join(pairs.select("query_id", "id"), ["query_id", "id"], "left_anti"))
-    return with_priors(all_.join(q, "query_id"), r)
-
-
-def with_priors(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Records beside queries (or their signatures), with every channel that needs no shared term."""
-    joined = left.join(right, "id") if "id" in left.columns and "id" in right.columns else left.crossJoin(F.broadcast(right))
-    joined = joined.where(F.col("type_hint").isNull() | (F.col("type") == F.col("type_hint")))
+
+def light(records: DataFrame, relations: DataFrame) -> DataFrame:
+    """Records without their texts: what the channels that need no shared term read, and the bounds of validity if there are any."""
+    bounds = [c for c in ("valid_from", "valid_to") if c in records.columns]
+    r = records.join(degree(relations).withColumnRenamed("id", "rid"), records.id == F.col("rid"), "left")
+    return r.select(
+        "id", "created_at", "type", "status", "decision_status", "project_id", F.col("supersedes").isNotNull().alias("replaces"), F.col("superseded_by").isNotNull().alias("replaced"),
+        capped_degree(F.col("degree"), 0.5).alias("relation"), keyword_hits(F.col("content"), ACTION_KEYS).alias("action_hits"), keyword_hits(F.col("content"), RISK_KEYS).alias("risk_hits"), *bounds,
+    )
+
+
+def with_priors(pairs: DataFrame) -> DataFrame:
+    """Pairs of a record (``light``) and a query or signature, with every channel that needs no shared term; a type hint leaves its type only."""
+    joined = pairs.where(F.col("type_hint").isNull() | (F.col("type") == F.col("type_hint")))
     intent = F.col("current") | F.col("historical") | F.coalesce(F.col("type_hint") == "decision", F.lit(False))
+    bonus = lambda boost: intent_bonus(*[F.col(c) for c in ("type", "status", "decision_status", "replaces", "replaced", "action_hits", "risk_hits")], boost)
     out = joined.withColumns({
         "type_": F.when(F.col("type") == F.col("type_hint"), 0.5).otherwise(0.0), "state": state_score(F.col("status"), F.col("decision_status"), intent),
-        "project": F.when(F.col("project_id") == F.col("project_id_q"), 0.4).otherwise(0.0),
-        "bonus": intent_bonus(F.col("type"), F.col("status"), F.col("decision_status"), F.col("supersedes"), F.col("superseded_by"), F.col("content")),
+        "project": F.when(F.col("project_id") == F.col("project_id_q"), 0.4).otherwise(0.0), "bonus": bonus(True), "bonus_no_boost": bonus(False),
     })
-    out = out.withColumn("prior", F.round(F.col("bonus") + F.col("type_") * WEIGHTS["type"] + F.col("relation") * WEIGHTS["relation"] + F.col("state") * WEIGHTS["state"] + F.col("project") * WEIGHTS["project"], 6))
     return out
 
 
+def prior(weights: dict[str, float]) -> Column:
+    """The part of the score that needs no shared term."""
+    w = {**WEIGHTS, **weights}
+    own = F.col("bonus" if w.get("bonus", 1.0) else "bonus_no_boost")
+    return F.round(own + F.col("type_") * F.lit(w["type"]) + F.col("relation") * F.lit(w["relation"]) + F.col("state") * F.lit(w["state"]) + F.col("project") * F.lit(w["project"]), 6)
+
+
+def prior_lists(base: DataFrame, signatures: DataFrame, n: int, weights: dict[str, float]) -> DataFrame:
+    """(sig, id, p): the best n records of each signature by what needs no shared term.
+
+    Records of one class score alike, so only the newest n of each class can be among
+    them, and of a signature's own project those of the class there.
+    """
+    any_ = newest(base, n, *CLASS).drop("place")
+    own = newest(base.join(F.broadcast(signatures.select(F.col("project_id_q").alias("project_id")).distinct()), "project_id", "left_semi"), n, *CLASS, "project_id").drop("place")
+    # The signatures are a few flags' values; a class has n records at most, so neither side grows with the corpus.
+    foreign = F.col("project_id_q").isNull() | ~F.col("project_id").eqNullSafe(F.col("project_id_q"))
+    pairs = any_.join(F.broadcast(signatures), foreign).unionByName(own.join(F.broadcast(signatures), F.col("project_id") == F.col("project_id_q")))
+    w = Window.partitionBy("sig").orderBy(F.desc("prior"), F.desc("created_at"), F.asc("id"))
+    return with_priors(pairs).withColumn("prior", prior(weights)).withColumn("p", F.row_number().over(w)).where(F.col("p") <= n).select("sig", "id", "p")
+
+
+def _unmatched(todo: DataFrame, base: DataFrame, signatures: DataFrame, pairs: DataFrame, k: int, weights: dict[str, float]) -> DataFrame:
+    """(query_id, id): the best k records of each query among those that it shares no term with."""
+    most, rest, n = base.count(), None, 4 * k
+    while True:
+        free = todo.join(prior_lists(base, signatures, n, weights), "sig").join(pairs.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        first = cut(free.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("p"))).where(F.col("__n") <= k).select("query_id", "id"))
+        enough = first.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("query_id")
+        got = first if n >= most else first.join(enough, "query_id", "left_semi")
+        rest = got if rest is None else rest.unionByName(got)
+        todo = todo.join(enough, "query_id", "left_anti")
+        if n >= most or todo.isEmpty():
+            return rest
+        n *= 8
+
+
+def hybrid_channels(records: DataFrame, index: DataFrame, relations: DataFrame, queries: DataFrame, k: int = TOP, variants: tuple[dict[str, float], ...] = ({},)) -> DataFrame:
+    """Every channel of every candidate: pairs that share a term, and for each query the best k of the others by their prior.
+
+    A pair without a shared term scores by the record's class and the query's signature
+    (flags, hint, project) alone. Each query reads its signature's list as far down as it takes to
+    find k that it shares no term with; lists are made longer, eightfold, for the queries that need it.
+    Texts are read once for terms and keywords and go into no pair. ``variants`` are the
+    weights for which the best k are wanted, where they differ from the usual ones.
+    """
+    flags = [*FLAGS, "project_id_q"]
+    q = queries.select("query_id", F.col("project_id").alias("project_id_q"), *[c.alias(n) for n, c in clues(F.col("query")).items()]).withColumn("sig", F.to_json(F.struct(*flags)))
+    base = cut(light(records, relations))
+    idf = cut(document_frequency(index, "id", F.lit(float(base.count()))))
+    qi = cut(terms(queries, "query_id", "query"))
+    lex = overlap(index, qi, "id", "query_id").withColumn("lexical", F.col("shared") / (F.col("nd") + F.col("nq") - F.col("shared")))
+    # Only terms that a query has are weighed; norms need all terms of a record.
+    near = cosine(weighted(index, idf, "id", qi.select("term").distinct()), weighted(qi, idf, "query_id"), "id", "query_id")
+    pairs = cut(lex.join(near, ["query_id", "id"]).select("query_id", "id", "lexical", "shared", F.col("cosine").alias("semantic")))
+    signatures = cut(q.select("sig", *flags).distinct())
+    rest = None
+    for weights in variants:
+        got = _unmatched(q.select("query_id", "sig"), base, signatures, pairs, k, weights)
+        rest = got if rest is None else rest.union(got).distinct()
+    rest = rest.select("query_id", "id", F.lit(0.0).alias("lexical"), F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("semantic"))
+    return with_priors(pairs.unionByName(rest).join(q, "query_id").join(base, "id"))
+
+
 def hybrid(channels: DataFrame, k: int = TOP, weights: dict[str, float] | None = None) -> DataFrame:
     """The best k records a query, with rank and score."""
     named = channels.withColumn("type_name", F.col("type")).drop("type").withColumnRenamed("type_", "type")

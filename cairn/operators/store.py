@@ -15,6 +15,12 @@ def page(records: DataFrame, project: str | None = None, kind: str | None = None
     return records.orderBy(F.desc("created_at"), F.asc("id")).offset(offset).limit(limit)
 
 
+def lookup(records: DataFrame, wanted: DataFrame, kind: str | None = None) -> DataFrame:
+    """Records by id for a batch of wanted ids, of one type if it is given."""
+    found = wanted.join(records, "id")
+    return found if kind is None else found.where(F.col("type") == kind)
+
+
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """Both together, one row a key: the last by ``order`` wins."""
     w = Window.partitionBy(key).orderBy(F.desc(order))
@@ -64,6 +70,17 @@ def related(relations: DataFrame, ids: DataFrame, most: int = 2) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).drop("rank")
 
 
+def newest(records: DataFrame, n: int, *groups: str) -> DataFrame:
+    """The newest n records of each group, with their ``place``.
+
+    First of each of 64 parts of a group, then of what these leave: no task sorts a whole group.
+    """
+    order = [F.desc("created_at"), F.asc("id")]
+    part = records.withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    near = part.withColumn("__p", F.row_number().over(Window.partitionBy(*groups, "__part").orderBy(*order))).where(F.col("__p") <= n)
+    return near.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("place") <= n).drop("__part", "__p")
+
+
 def chains(links: DataFrame) -> DataFrame:
     """(id, root, depth) along ``links`` (id, supersedes): how far each record's chain goes back.
 
@@ -72,18 +89,18 @@ def chains(links: DataFrame) -> DataFrame:
     still moves after so many rounds that any chain had ended leads into a cycle:
     such records get some record of the cycle and a null depth.
     """
-    now = _cut(links.select("id", F.col("supersedes").alias("at"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("supersedes").isNotNull().alias("live")))
+    now = cut(links.select("id", F.col("supersedes").alias("at"), F.when(F.col("supersedes").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("supersedes").isNotNull().alias("live")))
     rounds = now.count().bit_length() + 1
     for _ in range(rounds):
         if now.where("live").isEmpty():
             break
         up = now.where("at IS NOT NULL").select(F.col("id").alias("at"), F.col("at").alias("up"), F.col("depth").alias("more"), F.col("live").alias("on"))
         moved = now.where("live").join(up, "at", "left").select("id", F.coalesce("up", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("on", F.lit(False)).alias("live"))
-        now = _cut(now.where("NOT live").union(moved))
+        now = cut(now.where("NOT live").union(moved))
     return now.select("id", F.coalesce("at", "id").alias("root"), F.when(~F.col("live"), F.col("depth")).alias("depth"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Materialised in the shared checkpoint folder, so that a loop's plan doesn't grow."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -106,8 +106,7 @@ def stopword_filtered(spark, sf):
 
 @query(f"WITH dt AS (SELECT unnest({TOKENS.format('text')}) AS t FROM documents), {tx.stem_sql('dt')} SELECT t AS term, s AS stem FROM stems")
 def stemmed_vocab(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    return words.withColumn("stem", tx.stem(F.col("term")))
+    return tx.stems(table(spark, sf, "documents").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct(), "term")
 
 
 @query(f"WITH {INDEX}, {IDF} SELECT term, df, round(idf, 6) AS idf FROM idf")
@@ -118,15 +117,15 @@ def doc_freq_idf(spark, sf):
 
 @query(f"WITH {INDEX}, {LEXICAL} SELECT query_id, id, lexical AS score, row_number() OVER (PARTITION BY query_id ORDER BY lexical DESC, id) AS rank FROM lex QUALIFY rank <= 20")
 def lexical_topk(spark, sf):
-    d = ranking.terms(memories(spark, sf), "id", "content").persist()
+    d = store.cut(ranking.terms(memories(spark, sf), "id", "content"))
     return ranking.lexical(d, ranking.terms(questions(spark, sf), "query_id", "query"), "id", "query_id")
 
 
 def _cosines(spark, sf):
     m = memories(spark, sf)
-    d, q = ranking.terms(m, "id", "content").persist(), ranking.terms(questions(spark, sf), "query_id", "query").persist()
-    idf = ranking.document_frequency(d, "id", F.lit(float(m.count())))
-    return ranking.cosine(ranking.weighted(d, idf, "id"), ranking.weighted(q, idf, "query_id"), "id", "query_id")
+    d, q = store.cut(ranking.terms(m, "id", "content")), store.cut(ranking.terms(questions(spark, sf), "query_id", "query"))
+    idf = store.cut(ranking.document_frequency(d, "id", F.lit(float(m.count()))))
+    return ranking.cosine(ranking.weighted(d, idf, "id", q.select("term").distinct()), ranking.weighted(q, idf, "query_id"), "id", "query_id")
 
 
 @query(f"WITH {INDEX}, {IDF}, {VECTORS} SELECT query_id, id, semantic AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, id) AS rank FROM cosines QUALIFY rank <= 20")
@@ -196,21 +195,26 @@ BONUS = f"""(CASE WHEN type = 'checkpoint' THEN CASE WHEN next_action THEN 0.25
  + CASE WHEN historical THEN CASE WHEN status = 'obsolete' OR coalesce(decision_status, '') = 'superseded' THEN 0.4 ELSE 0 END::DOUBLE + 0.0 - CASE WHEN status = 'verified' THEN 0.1 ELSE 0 END::DOUBLE - CASE WHEN coalesce(decision_status, '') = 'active' THEN 0.15 ELSE 0 END::DOUBLE
    WHEN current THEN CASE WHEN status = 'verified' THEN 0.12 ELSE 0 END::DOUBLE + CASE WHEN coalesce(decision_status, '') = 'active' THEN 0.3 ELSE 0 END::DOUBLE - CASE WHEN status = 'obsolete' THEN 0.15 ELSE 0 END::DOUBLE - CASE WHEN coalesce(decision_status, '') = 'superseded' THEN 0.3 ELSE 0 END::DOUBLE
    ELSE 0 END + CASE WHEN next_action THEN {_hits(ranking.ACTION_KEYS)} * 0.15::DOUBLE ELSE 0 END + CASE WHEN risk OR blocker THEN {_hits(ranking.RISK_KEYS)} * 0.15::DOUBLE ELSE 0 END)"""
+PLAIN_BONUS = BONUS.replace("CASE WHEN next_action THEN 0.25 ELSE 0.1 END", "0")
 CHANNELS = f"""{INDEX}, {IDF}, {VECTORS}, {LEXICAL}, {MEMORIES}, {RELATIONS}, {DEGREES}, q AS (SELECT item_id AS query_id, {FLAGS}, {HINT} FROM benchmark),
 ch AS (SELECT query_id, id, created_at, type AS type_name, content, decision_status, coalesce(lexical, 0) AS lexical, coalesce(shared, 0) AS shared, coalesce(semantic, 0) AS semantic, CASE WHEN type = type_hint THEN 0.5 ELSE 0 END::DOUBLE AS type_s,
- least(coalesce(degree, 0) * 0.1::DOUBLE, 0.5::DOUBLE) AS relation, CASE WHEN current OR historical OR coalesce(type_hint = 'decision', false) THEN {MOVED_SQL} ELSE {STATE_SQL} END AS state, {BONUS} AS bonus
+ least(coalesce(degree, 0) * 0.1::DOUBLE, 0.5::DOUBLE) AS relation, CASE WHEN current OR historical OR coalesce(type_hint = 'decision', false) THEN {MOVED_SQL} ELSE {STATE_SQL} END AS state, {BONUS} AS bonus, {PLAIN_BONUS} AS bonus_plain
  FROM q CROSS JOIN memories LEFT JOIN degrees USING (id) LEFT JOIN lex USING (query_id, id) LEFT JOIN cosines USING (query_id, id) WHERE type_hint IS NULL OR type = type_hint)"""
 
 
-def _ranked(semantic=0.4, relation=0.4, type_=0.3, state=0.6, name="ranked"):
-    score = f"round(bonus + lexical * 1.0::DOUBLE + semantic * {semantic}::DOUBLE + type_s * {type_}::DOUBLE + relation * {relation}::DOUBLE + state * {state}::DOUBLE, 6)"
+def _ranked(semantic=0.4, relation=0.4, type_=0.3, state=0.6, bonus="bonus", name="ranked"):
+    score = f"round({bonus} + lexical * 1.0::DOUBLE + semantic * {semantic}::DOUBLE + type_s * {type_}::DOUBLE + relation * {relation}::DOUBLE + state * {state}::DOUBLE, 6)"
     return f"{name} AS (SELECT *, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, created_at DESC, id) AS rank FROM ch QUALIFY rank <= 20)"
 
 
-def _channels(spark, sf):
-    """The index is kept for the plan's several uses of it; Spark spills what doesn't fit and recomputes what is lost."""
+def _channels(spark, sf, variants=({},)):
+    """The index is a table of its own for the plan's several uses of it."""
     m = memories(spark, sf)
-    return ranking.hybrid_channels(m, ranking.terms(m, "id", "content").persist(), relations(spark, sf), questions(spark, sf))
+    return ranking.hybrid_channels(m, store.cut(ranking.terms(m, "id", "content")), relations(spark, sf), questions(spark, sf), variants=variants)
+
+
+def _with_content(spark, sf, ranked):
+    return ranked.join(memories(spark, sf).select("id", "content"), "id")
 
 
 @query(f"WITH {CHANNELS}, {_ranked()} SELECT query_id, id, score, rank FROM ranked")
@@ -239,12 +243,12 @@ CAPSULE = f"""{CHANNELS}, {_ranked()}, capsule AS (SELECT query_id, type_name AS
 
 @query(f"WITH {CAPSULE} SELECT query_id, layer, layer_ord, place, id FROM capsule")
 def capsule_layers(spark, sf):
-    return assisted.capsule(ranking.hybrid(_channels(spark, sf))).drop("content")
+    return assisted.capsule(_with_content(spark, sf, ranking.hybrid(_channels(spark, sf)))).drop("content")
 
 
 @query(f"WITH {CAPSULE} SELECT query_id, count(*) AS items, (sum(length(content)) + 2 * (count(*) - 1))::BIGINT AS chars, greatest(1, (sum(length(content)) + 2 * (count(*) - 1)) // 4)::BIGINT AS tokens FROM capsule GROUP BY query_id")
 def capsule_stats(spark, sf):
-    return assisted.capsule_size(assisted.capsule(ranking.hybrid(_channels(spark, sf))))
+    return assisted.capsule_size(assisted.capsule(_with_content(spark, sf, ranking.hybrid(_channels(spark, sf)))))
 
 
 GOLD = "gold AS (SELECT item_id AS query_id, doc_id AS id, 1.0::DOUBLE AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -277,12 +281,12 @@ def macro_metrics(spark, sf):
     return ranking.metrics(ranking.hybrid(_channels(spark, sf)), _gold(spark, sf)).agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in MEANS])
 
 
-_ABLATED = {"full": {}, "no_semantic": {"semantic": 0}, "no_graph": {"relation": 0}, "no_typing": {"type_": 0}, "no_state": {"state": 0}}
+_ABLATED = {"full": {}, "no_semantic": {"semantic": 0}, "no_graph": {"relation": 0}, "no_temporal": {}, "no_typing": {"type_": 0}, "no_state": {"state": 0}, "no_checkpoint_boost": {"bonus": "bonus_plain"}}
 
 
 @query(f"WITH {CHANNELS}, " + ", ".join(_ranked(**w, name=f"r_{n}") for n, w in _ABLATED.items()) + f", {GOLD} SELECT variant, count(*) AS n_hits, round(avg(1.0::DOUBLE / rank), 6) AS mean_rr FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS variant, query_id, id, rank FROM r_{n}" for n in _ABLATED) + ") JOIN gold USING (query_id, id) GROUP BY variant")
 def ablation_metrics(spark, sf):
-    channels, out = _channels(spark, sf).persist(), None
+    channels, out = store.cut(_channels(spark, sf, tuple(ranking.ABLATIONS.values()))), None
     gold = _gold(spark, sf)
     for name, weights in ranking.ABLATIONS.items():
         r = ranking.hybrid(channels, weights=weights).select(F.lit(name).alias("variant"), "query_id", "id", "rank")
