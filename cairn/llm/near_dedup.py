@@ -54,6 +54,8 @@ SCREEN_FROM = 8
 SCREEN = 0.56
 #: Members of a bundle or bucket that one task compares with each other, and blocks of a bundle beyond which it goes by buckets.
 BLOCK, MOST = 2048, 8
+#: Smaller bundles are dealt out too, by blocks of SMALL members and up to so many of them, since a search takes the square of its members.
+SMALL, SPREAD = 384, 12
 #: Sets up to this size go whole into the search of a bucket, larger ones by so many of their smallest hashes.
 SAMPLE = 512
 #: Percent by which a sampled estimate may lie under the true similarity: six standard deviations.
@@ -296,9 +298,10 @@ def _links(source: DataFrame, reps: DataFrame, percent: int) -> tuple[DataFrame,
     erase(spark, met_path)
     bundle = components(left.select(F.col("component").alias("a"), F.col("c1").alias("b")).distinct()).toDF("component", "bundle")
     members = left.select("node", "n", "component").distinct().join(bundle, "component")
-    of = members.groupBy("bundle").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / F.lit(float(BLOCK))).cast("int"))
-    together = members.join(of.where(f"blocks <= {MOST}"), "bundle").select(F.lit(True).alias("bundled"), F.col("bundle").alias("key"), "blocks", "node", "component", "n")
-    big = bundle.join(of.where(f"blocks > {MOST}"), "bundle").select("component")
+    of = members.groupBy("bundle").agg(F.count("*").alias("members")).withColumn("big", F.col("members") > BLOCK * MOST)
+    blocks = F.greatest(F.least(F.ceil(F.col("members") / F.lit(float(SMALL))), F.lit(SPREAD)), F.ceil(F.col("members") / F.lit(float(BLOCK)))).cast("int")
+    together = members.join(of.where("NOT big").withColumn("blocks", blocks), "bundle").select(F.lit(True).alias("bundled"), F.col("bundle").alias("key"), "blocks", "node", "component", "n")
+    big = bundle.join(of.where("big"), "bundle").select("component")
     apart = left.join(big, "component", "left_semi").select(F.lit(False).alias("bundled"), F.col("bucket").alias("key"), F.ceil(F.col("size") / F.lit(float(BLOCK))).cast("int").alias("blocks"), "node", "component", "n")
     profile = profiles.select("node", "sketch", "bands").join(sets.select("node", F.slice("hashes", 1, SAMPLE).alias("hashes")), "node")
     work = together.union(apart).join(profile, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

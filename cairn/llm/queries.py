@@ -25,7 +25,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return out.selectExpr("doc_id", "size(removed) AS n_removed_lines", "length(coalesce(text, '')) - length(coalesce(kept_text, '')) AS n_removed_chars", "removed", "sha2(coalesce(kept_text, ''), 256) AS kept_sha256")
+    return out.selectExpr("doc_id", "length(coalesce(text, '')) - length(coalesce(kept_text, '')) AS n_removed", "size(removed) AS n_spans", "removed", "sha2(coalesce(kept_text, ''), 256) AS kept_sha256")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,6 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_token_counts, op3_substring_dedup, op4_license_scan, op5_url_filter, op6_toxicity, op7_decontamination, op8_quality_rules, op9_suffix_array_dedup, op10_source_mixing)}
 
-# A line's words are normalised as the operator does it: lower case, joined by one space, outer punctuation off.
-_OUTER = r"!\"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~"
 URL_SQL = r"""WITH u AS (SELECT page_id,
   CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
   CASE WHEN contains(url, '://') THEN regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') ELSE '' END AS path FROM pages),

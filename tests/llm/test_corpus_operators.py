@@ -1,13 +1,15 @@
 """Each corpus operator against a brute-force version, on a small table and on odd rows."""
 
 import hashlib
+import random
 import re
+import string
 import zlib
-import random
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from cairn.llm import decontaminate, induced, license_scan, line_dedup, mixing, near_dedup, quality, queries, substring_dedup, token_count, toxicity, url_filter
@@ -80,9 +82,12 @@ def test_near_duplicate_group_around_an_original(spark):
     assert linked > 50 and sum(r.component_id == 0 for r in out) >= linked
 
 
-@pytest.mark.parametrize("size", [60, 700])
-def test_near_duplicates_without_one_original(spark, size):
-    """Copies with different amounts of edits: many link only through others, many not at all."""
+@pytest.mark.parametrize("size,block,most", [(60, 2048, 8), (700, 2048, 8), (60, 16, 100), (60, 16, 0)])
+def test_near_duplicates_without_one_original(spark, size, block, most, monkeypatch):
+    """Copies with different amounts of edits: many link only through others, many not at all; bundled whole, by blocks, and by buckets."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "MOST", most)
+    monkeypatch.setattr(near_dedup, "SMALL", min(block, near_dedup.SMALL))
     rng = random.Random(size)
     base = [f"w{rng.randrange(4000)}" for _ in range(size)]
     texts = []
@@ -105,6 +110,14 @@ def test_near_duplicates_without_one_original(spark, size):
     assert {r.doc_id: r.component_id for r in out} == dict(enumerate(low))
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Texts that share a doc_id belong together, and each of them links to its own near copies."""
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(80))
+    rows = [(7, text("a")), (7, text("b")), (8, text("a") + " x"), (9, text("b") + " y"), (3, text("c")), (10, text("c")), (11, text("d")), (None, text("d")), (None, text("d")), (12, None)]
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter([(7, 7, True), (7, 7, True), (8, 7, False), (9, 7, False), (3, 3, True), (10, 3, False), (11, 11, True), (None, None, False), (None, None, False), (12, 12, True)])
+
+
 def test_drop_near_duplicates_repeated_rows(spark):
     """Equal rows leave one; of two texts with one doc_id only the near copy goes."""
     text = lambda tag: " ".join(f"{tag}{k}" for k in range(80))
@@ -122,42 +135,105 @@ def test_token_counts(spark, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    t = Tokenizer.from_file(path)
-    for table in both(spark, docs):
-        want = Counter((i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for i, x in rows_of(table))
-        assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(table, path).collect()) == want
+    odd = ["plain <|endoftext|><|endoftext|> two", "<|startoftext|>", "é É e\u0301 ﬁ ﬀ ½ ² ª µ ß ẞ İ", "it\u2019s IT'S we'LL 'd'd ''s", "a\u00a0b\u2003c\x1cd\x85e\x0bf", "ÀÉÎÕÜ×÷ÿ Ñandú 12³", "日本語。テスト 🙂🙂 zwj\u200dx", "<|endoftext", "\x00\x07 bell", "x" * 3000]
+    mixed = spark.createDataFrame([(i, x) for i, x in enumerate(odd)] + [(None, odd[0]), (3, odd[3])], "doc_id long, text string")
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = public_tokenizers.path(name)
+        t = Tokenizer.from_file(path)
+        for table in (*both(spark, docs), mixed) if name[0] == "w" else (mixed,):
+            want = Counter((i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for i, x in rows_of(table))
+            for most in (1_000_000, 30):
+                assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in token_count.count_tokens(table, path, broadcast=most).collect()) == want
+
+
+def brute_passages(text, least):
+    """(start, end, words) of every unit, by the rule: whole sentences in a row, the fewest with so many words together."""
+    parts, at = [], 0
+    for end in [m.end() for m in re.finditer(r"(?:[.!?…]+[\"'”’»)\]]*[^\S\n]+|[。！？]+|\n+)", text)] + [len(text)]:
+        words = [(at + m.start(), at + m.end(), m[0].lower().strip(string.punctuation) or m[0].lower()) for m in re.finditer(r"\S+", text[at:end])]
+        if len(words) > 40:
+            first, begin = 0, at
+            for k, (_, e, w) in enumerate(words):
+                last = k == len(words) - 1
+                if last or xxhash.xxh64_intdigest(w) % 8 == 0:
+                    parts.append((begin, end if last else e + 1, tuple(w for _, _, w in words[first : k + 1])))
+                    first, begin = k + 1, end if last else e + 1
+        elif words:
+            parts.append((at, end, tuple(w for _, _, w in words)))
+        at = end
+    out = {}
+    for a in range(len(parts)):
+        end = next((b for b in range(a, len(parts)) if sum(len(p[2]) for p in parts[a : b + 1]) >= least), None)
+        start = next((b for b in range(a, -1, -1) if sum(len(p[2]) for p in parts[b : a + 1]) >= least), None)
+        for low, high in [(a, end)] * (end is not None) + [(start, a)] * (start is not None):
+            out[low, high] = (parts[low][0], parts[high][1], tuple(p[2] for p in parts[low : high + 1]))
+    return list(out.values())
+
+
+def brute_line_dedup(rows, least):
+    """(doc_id, text) -> the text that is left."""
+    units, first, times = {}, {}, Counter()
+    for row in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        units[row] = brute_passages(row[1] or "", least) if len(row[1] or "") < 60_000 else []
+        for s, e, w in units[row]:
+            times[w] += 1
+            if w not in first or (first[w][0] == row and (s, e) < first[w][1:]):
+                first[w] = (row, s, e)
+    out = {}
+    for row, found in units.items():
+        gone = bytearray(len(row[1] or ""))
+        for s, e, w in found:
+            if first[w] != (row, s, e):
+                s = max(s, first[w][2]) if first[w][0] == row else s
+                gone[s:e] = b"\1" * max(0, e - s)
+        out[row] = row[1] and "".join(c for c, g in zip(row[1], gone) if not g)
+    return out
 
 
 def test_line_dedup(spark, docs):
     for table in both(spark, docs):
-        rows = sorted(set(rows_of(table)), key=lambda r: (r[0] is None, r[0] or 0))
-        first = {}
-        for i, t in rows:
-            for k, x in enumerate((t or "").split("\n")):
-                d = line_dedup.line_digest(x)
-                if d:
-                    first.setdefault(d, (i, k))
-        want = {}
-        for i, t in rows:
-            lines = (t or "").split("\n")
-            gone = {k for k, x in enumerate(lines) if (d := line_dedup.line_digest(x)) and first[d] != (i, k)}
-            want[(i, t)] = t if not gone else "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        for r in line_dedup.dedup_lines(table).collect():
-            assert r.kept_text == want[(r.doc_id, r.text)]
-            if len(r.removed) and r.kept_text:
-                left = "".join(c for k, c in enumerate(r.text) if not any(s.start <= k < s.end for s in r.removed))
-                assert left.rstrip("\n") == r.kept_text.rstrip("\n")
-
-
-def test_line_dedup_short_lines(spark):
-    """A repeated passage set in lines of 9 words goes from the later document; its other lines stay in place."""
-    passage = "\n".join(" ".join(f"p{k}w{j}" for j in range(9)) for k in range(7))
-    df = spark.createDataFrame([(1, f"first\n\n{passage}\nend one"), (2, f"second é\n{passage}\n\nend two"), (3, passage)], "doc_id long, text string")
-    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
-    assert {i: r.kept_text for i, r in got.items()} == {1: got[1].text, 2: "second é\n\nend two", 3: ""}
-    assert [len(got[i].removed) for i in (1, 2, 3)] == [0, 7, 7]
-    assert "".join(got[2].text[s.start : s.end] for s in got[2].removed) == passage + "\n"
+        rows = [r for r in rows_of(table) if len(r[1] or "") < 60_000]
+        for least in (4, 20):
+            want = brute_line_dedup(rows, least)
+            small = table.where("text IS NULL OR length(text) < 60000")
+            for r in line_dedup.dedup_lines(small.withColumn("removed", F.lit(1)).withColumn("row", F.lit(2)), least).collect():
+                assert r.kept_text == want[(r.doc_id, r.text)] and r["row"] == 2
+                if r.text is not None:
+                    assert r.kept_text == "".join(c for k, c in enumerate(r.text) if not any(s.start <= k < s.end for s in r.removed))
+        assert line_dedup.remove_repeats(table.withColumn("removed", F.lit(1))).columns == [*table.columns, "removed"]
+
+
+def test_line_dedup_whole_long_texts(spark):
+    """Of two very long texts the later one goes but for its own end, with or without punctuation."""
+    for stop in ("", "."):
+        text = " ".join(f"w{i % 977}x{i}" + stop * (i % 11 == 0) for i in range(60_000))
+        df = spark.createDataFrame([(2, text + " 5 own words at end"), (1, text)], "doc_id long, text string")
+        got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(df).collect()}
+        assert got[1] == text and len(got[2]) < 200 and got[2].endswith("own words at end")
+
+
+def test_line_dedup_planted_passages(spark):
+    """Passages of over 50 words that start inside a line, run over lines or are set in short ones go from the later documents; texts of their own stay."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    sentence = lambda n: " ".join([word().capitalize(), *(word() for _ in range(n - 1))]) + "."
+    prose = lambda n: " ".join(sentence(rng.randrange(3, 16)) for _ in range(n))
+    plant = {
+        "inside a line": prose(9), "over lines": "\n".join(prose(3) for _ in range(3)), "short lines": "\n".join(" ".join(word() for _ in range(6)) for _ in range(12)),
+        "no punctuation": " ".join(word() for _ in range(120)), "blank lines": "\n\n".join(prose(2) for _ in range(5)),
+    }
+    rows, holds = [], {}
+    for k, (kind, p) in enumerate(plant.items()):
+        for i in range(4):
+            doc = 10 * k + i
+            rows.append((doc, f"{prose(4)} {p} {prose(3)}\n{prose(2)}" if kind != "no punctuation" else f"{prose(4)} {' '.join(word() for _ in range(5 + i))} {p} {' '.join(word() for _ in range(9 - i))}\n{prose(2)}"))
+            holds[doc] = (kind, p, i)
+    clean = [(1000 + i, f"{prose(8)}\nA short line that they share.\n{prose(3)}") for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    for doc, (kind, p, i) in holds.items():
+        gone = sum(s.end - s.start for s in got[doc].removed)
+        assert gone == 0 if i == 0 else len(p) * 0.7 <= gone <= len(p) + 2, (kind, i, gone, len(p))
+    assert all(got[i].kept_text == t for i, t in clean)
 
 
 def test_license_scan(spark, docs):
