@@ -1,17 +1,21 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Method: documents and benchmark items are folded (lower case, everything but
-letters and digits to one space) and seen as UTF-8 bytes. An item of length L may
+letters and digits to one space) and seen as characters. An item of length L may
 be met with up to e = ``EDITS`` * L edits; by the q-gram lemma the place then
 shares at least L - q + 1 - q * e q-grams with it, and they lie within e + 1
 neighbouring diagonals. q-grams are looked up in a sorted table, counted in
 overlapping bands of 2 * (e + 1) diagonals, and the bands that meet the bound are
-verified by an alignment banded to e diagonals each way.
+verified by an alignment of characters on these diagonals and e more each way.
 
-All documents are read once for each block of at most ``BLOCK`` item bytes: the
-benchmark is the stated query set, and no block's size depends on the documents.
+The filter sees a character as one byte: ASCII as it is, others mixed. Different
+characters may share a byte, so it may count too many q-grams but never too few.
 
-Edge cases: null, empty and short texts match nothing; items shorter than q bytes
+All documents are read once for each block of at most ``BLOCK`` item bytes, one
+behind the other: the benchmark is the stated query set, which passes through the
+driver block by block and must fit a worker's memory; no block's size depends on the documents.
+
+Edge cases: null, empty and short texts match nothing; items shorter than q characters
 when folded are never looked for; null item texts likewise; null doc_ids and
 repeated rows keep a row each; items equal when folded are all reported; empty
 tables give an empty result or no matches; further columns are ignored.
@@ -19,6 +23,7 @@ tables give an empty result or no matches; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,14 +40,18 @@ BLOCK = 8 << 20
 CHUNK = 2 << 20
 TABLE_BITS = 22
 MIXER = np.uint64(0x9E3779B97F4A7C15)
-SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+SPACES = bytes(c if chr(c).isascii() and chr(c).isalnum() else 32 for c in range(256))
+NO_WORD = re.compile(r"[\W_]+")
 
 
 def folded(text: str | None) -> np.ndarray:
-    """Bytes of the folded text, one space between words, none outside."""
+    """Code points of the folded text (bytes if it is ASCII), one space between words, none outside."""
     if not text:
         return np.empty(0, np.uint8)
-    a = np.frombuffer(text.lower().encode("utf-8", "surrogatepass").translate(SPACES), np.uint8)
+    low = text.lower()
+    if not low.isascii():
+        return np.frombuffer(NO_WORD.sub(" ", low).strip(" ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    a = np.frombuffer(low.encode().translate(SPACES), np.uint8)
     space = a == 32
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
@@ -51,6 +60,11 @@ def folded(text: str | None) -> np.ndarray:
     return a[:-1] if len(a) and a[-1] == 32 else a
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """One byte a character: equal characters give equal bytes."""
+    return a if a.dtype == np.uint8 else np.where(a < 128, a, 128 | (a ^ (a >> 7)) & 127).astype(np.uint8)
+
+
 def grams(a: np.ndarray) -> np.ndarray:
     """All windows of 8 bytes as 64-bit words."""
     n = len(a) - Q + 1
@@ -68,24 +82,31 @@ def budget(length: int, edits: float = EDITS) -> int:
     return max(0, min(int(length * edits), (length - Q) // Q))
 
 
-def distance(item: np.ndarray, text: np.ndarray, most: int) -> int:
-    """Least edits that turn ``item`` into some stretch of ``text``, or most + 1.
+def distance(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> int:
+    """Least edits that turn ``item`` into some stretch of ``text`` on the diagonals low to high (place in the text less place in the item), or most + 1.
 
-    Row by row over the item. ``text`` is already the band: it has at most 2 * most
-    further bytes on each side, and cells further off are never reached within the budget.
+    Row by row over the item; a row holds the cells of the band alone.
     """
-    if len(item) <= len(text) and item.tobytes() in text.tobytes():
-        return 0
-    steps = np.arange(len(text) + 1)
-    row = np.zeros(len(text) + 1, np.int64)
-    for i, c in enumerate(item, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
+    width, n = high - low + 1, len(text)
+    diagonal, steps = np.arange(low, high + 1), np.arange(width)
+    pad = np.full(width + len(item), -1, np.int64)
+    first, last = max(0, low), min(n, low + len(pad))
+    if first < last:
+        pad[first - low : last - low] = text[first:last]
+    row = np.where((diagonal >= 0) & (diagonal <= n), 0, most + 1)
+    for i, c in enumerate(item.tolist(), 1):
+        new = row + (pad[i - 1 : i - 1 + width] != c)
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.minimum.accumulate(new - steps) + steps
+        # Cells before the text's beginning or behind its end don't exist.
+        if low + i < 0:
+            new[: -low - i] = most + 1
+        if high + i > n:
+            new[max(0, n - low - i + 1) :] = most + 1
+        row = np.minimum(new, most + 1)
         if row.min() > most:
             return most + 1
-    return int(min(row.min(), most + 1))
+    return int(row.min())
 
 
 class Filter:
@@ -96,7 +117,7 @@ class Filter:
         self.texts = [folded(t) for _, t in items]
         self.most = np.array([budget(len(t), edits) for t in self.texts], np.int64)
         self.need = np.array([len(t) - Q + 1 - Q * e for t, e in zip(self.texts, self.most)], np.int64)
-        codes = [grams(t) for t in self.texts]
+        codes = [grams(narrow(t)) for t in self.texts]
         gram = np.concatenate(codes) if codes else np.empty(0, np.uint64)
         item = np.repeat(np.arange(len(items)), [len(c) for c in codes])
         pos = np.concatenate([np.arange(len(c)) for c in codes]) if codes else np.empty(0, np.int64)
@@ -158,16 +179,15 @@ class Filter:
             return
         gap = np.zeros(Q, np.uint8)
         starts = np.cumsum([0] + [len(d) + Q for d in docs[first:end]])
-        whole = np.concatenate([x for d in docs[first:end] for x in (d, gap)]) if end > first else gap
+        whole = np.concatenate([x for d in docs[first:end] for x in (narrow(d), gap)]) if end > first else gap
         for i, lo, hi in self.bands(whole):
             item, most = self.texts[i], int(self.most[i])
-            lo, hi = lo - most, hi + len(item) + most
-            for k in range(max(0, np.searchsorted(starts, lo, "right") - 1), min(end - first, np.searchsorted(starts, hi, "left"))):
+            lo, hi = lo - most, hi + most
+            for k in range(max(0, np.searchsorted(starts, lo, "right") - 1), min(end - first, np.searchsorted(starts, hi + len(item), "left"))):
                 if out[first + k].get(i) == 0:
                     continue
-                s = int(starts[k])
-                part = docs[first + k][max(0, lo - s) : max(0, hi - s)]
-                if len(part) >= len(item) - most and (d := distance(item, part, most)) <= most:
+                s, doc = int(starts[k]), docs[first + k]
+                if len(doc) >= len(item) - most and (d := distance(item, doc, lo - s, hi - s, most)) <= most:
                     out[first + k][i] = min(d, out[first + k].get(i, d))
 
 
