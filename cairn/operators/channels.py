@@ -311,3 +311,49 @@ def retrieve(queries: DataFrame, records: DataFrame, relations: DataFrame, as_of
     out = out.withColumns({"dimension": F.when(asks, F.col("dimension")), "question": F.when(asks, F.col("question"))})
     kept = best.join(out.select("query_id", "state"), "query_id").where((F.col("state") != "AMBIGUOUS") | (F.col("rank") <= 3)).drop("state")
     return kept, out
+
+
+class Session:
+    """A clarification session of one query against a store's records: up to ``most`` questions, answered one by one.
+
+    Answers become filters and are never stored. ``start`` begins anew; ``answer`` gives
+    the last question's dimension a value, or ends the search when it says no.
+    """
+
+    def __init__(self, records: DataFrame, relations: DataFrame, projects: DataFrame | None = None, as_of: Column | None = None, most: int = 3):
+        self.records, self.relations, self.projects, self.most = records, relations, projects, most
+        self.as_of = F.current_timestamp() if as_of is None else as_of
+        self._query, self._project, self._filters, self._used, self._gave_up, self._history = "", None, {}, 0, False, []
+
+    def start(self, query: str, project: str | None = None) -> dict:
+        self._query, self._project, self._filters, self._used, self._gave_up, self._history = query, project, {}, 0, False, []
+        return self._turn(None, None)
+
+    def answer(self, text: str | None) -> dict:
+        if not self._history:
+            raise RuntimeError("answer before start")
+        dimension = self._history[-1]["dimension"]
+        if (text or "").strip().lower() in assisted.GIVE_UP:
+            self._gave_up = True
+        elif dimension is not None:
+            self._filters[dimension] = text.strip()
+        return self._turn(text, dimension)
+
+    def history(self) -> list[dict]:
+        return list(self._history)
+
+    def filters(self) -> dict[str, str]:
+        return dict(self._filters)
+
+    def _turn(self, answer: str | None, dimension: str | None) -> dict:
+        spark = self.records.sparkSession
+        row = [(1, self._query, self._project, dict(self._filters))]
+        q = spark.createDataFrame(row, "query_id long, query string, project_id string, filters map<string,string>")
+        spent = self._gave_up or self._used >= self.most
+        found, outcome = retrieve(q, self.records, self.relations, self.as_of, self.projects, F.lit(spent))
+        state = outcome.first()
+        best = found.select("id", "final").orderBy("rank").collect()  # a pool of rows at most
+        turn = {"query": self._query, "answer": answer, "asked": dimension, "state": state["state"], "dimension": state["dimension"], "question": state["question"], "constraint": state["constraint"], "results": [(r["id"], r["final"]) for r in best]}
+        self._history.append(turn)
+        self._used += answer is not None and dimension is not None
+        return turn | {"used": self._used}
