@@ -56,7 +56,12 @@ def turned(host: str) -> str:
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str = "allow", ranges: int | None = None) -> DataFrame:
     """One row a page: page_id, host, path, rule, verdict (``default`` where no rule fits)."""
     spark = pages.sparkSession
-    rules = sorted({Rule(*r) for r in rules}, key=lambda r: (turned(r.host), r.path))
+    rules = sorted({Rule(*r) for r in rules}, key=lambda r: (turned(r.host), r.path, r.verdict))
+    # A host's rules by path, and the lengths that their paths have, longest first: a url is looked up once a length, however many rules there are.
+    hosts: dict[str, dict[str, int]] = {}
+    for at, r in enumerate(rules):
+        hosts.setdefault(turned(r.host), {}).setdefault(r.path, at)
+    lengths = {key: sorted({len(p) for p in paths}, reverse=True) for key, paths in hosts.items()}
     source = pick(pages, "page_id", "url").select(F.col("page_id").cast("long"), host_of().alias("host"), path_of().alias("path"))
     keyed = source.withColumn("key", F.concat(F.when(F.col("host") == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split("host", r"\.", -1)), "\x01"), F.lit("\x01"))), F.lit("\x00"), "path", F.lit("\x00"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     n = ranges or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")) * 3)
@@ -68,14 +73,15 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
     cuts = [e.encode() for e in ends]
 
     # Rules, copied to each range that their interval [key, key + 0xff) meets.
-    placed = []
-    for at, r in enumerate(rules):
-        low = turned(r.host).encode()
+    by_range: dict[int, list[str]] = {}
+    for key in hosts:
+        low = key.encode()
         for part in range(bisect.bisect_right(cuts, low), bisect.bisect_left(cuts, low + b"\xff") + 1):
-            placed.append((part, turned(r.host), at))
-    by_range: dict[int, list[tuple[str, int]]] = {}
-    for part, key, at in placed:
-        by_range.setdefault(part, []).append((key, at))
+            by_range.setdefault(part, []).append(key)
+
+    def longest(host: str, path: str) -> int | None:
+        """The rule of a host with the longest path that the url's begins with."""
+        return next((at for n in lengths[host] if n <= len(path) and (at := hosts[host].get(path[:n])) is not None), None)
 
     def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -89,14 +95,14 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]], default: str
             for key, path, own in zip(b.column(3).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist()):
                 if own != part:
                     part, waiting, nxt, stack = own, by_range.get(own, []), 0, []
-                while nxt < len(waiting) and waiting[nxt][0].encode() <= key.encode():
-                    while stack and not waiting[nxt][0].startswith(stack[-1][0]):
+                while nxt < len(waiting) and waiting[nxt].encode() <= key.encode():
+                    while stack and not waiting[nxt].startswith(stack[-1]):
                         stack.pop()
                     stack.append(waiting[nxt])
                     nxt += 1
-                while stack and not key.startswith(stack[-1][0]):
+                while stack and not key.startswith(stack[-1]):
                     stack.pop()
-                fits = [rules[at] for _, at in stack if path.startswith(rules[at].path)]
+                fits = [rules[at] for host in stack if (at := longest(host, path)) is not None]
                 best = max(fits, key=lambda r: (len(r.host) + len(r.path), len(r.host)), default=None)
                 found.append(best and best.host + best.path)
                 verdicts.append(best.verdict if best else default)

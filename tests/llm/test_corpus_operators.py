@@ -289,6 +289,21 @@ def test_url_filter(spark):
     assert url_filter.judge(df.limit(0), queries.RULES).count() == 0
 
 
+def test_url_filter_many_rules(spark):
+    """Hundreds of nested rules of a few hosts, two verdicts for some: against all rules for every url."""
+    rng = random.Random(5)
+    host = lambda: ".".join(rng.choice("abc") for _ in range(rng.randrange(1, 4)))
+    path = lambda: "/" + "/".join(rng.choice("xyz") for _ in range(rng.randrange(0, 5)))
+    rules = [(rng.choice(["allow", "block"]), host(), path()) for _ in range(400)]
+    urls = [f"http://{host()}{path()}{rng.choice(['', '?q', '#f', '/x'])}" for _ in range(600)]
+    out = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules, "none", ranges=5).collect()
+    for r in out:
+        fits = [q for q in rules if (r.host == q[1] or r.host.endswith("." + q[1])) and r.path.startswith(q[2])]
+        best = min(fits, key=lambda q: (-len(q[1] + q[2]), -len(q[1]), q[0]), default=None)
+        assert (r.rule, r.verdict) == ((best[1] + best[2], best[0]) if best else (None, "none"))
+    assert len(out) == len(urls) and any(r.rule for r in out)
+
+
 def test_toxicity(spark, docs, sf):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
