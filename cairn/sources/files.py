@@ -14,13 +14,12 @@ from pyspark.sql import functions as F
 from ..functions.identifiers import stable_id
 
 # What is left out of a project, and file types.
-FOLDERS = (".git", ".venv", "venv", "__pycache__", ".pytest_cache", "dist", "build", ".mypy_cache", ".ruff_cache", "node_modules", "pilot_data", "cache")
+FOLDERS = (".git", ".venv", "venv", "__pycache__", ".pytest_cache", "dist", "build", ".mypy_cache", ".ruff_cache", "node_modules", "cache")
 EXTENSIONS = (
     ".db", ".sqlite", ".sqlite3", ".pyc", ".pyo", ".so", ".dll", ".pyd", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".svg", ".woff", ".woff2", ".ttf", ".eot",
     ".zip", ".tar", ".gz", ".bz2", ".7z", ".exe", ".bin", ".dmg", ".pdf", ".lock",
 )
 NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
-PREFIXES = ("experiments/exp-02/", "experiments/exp-02-clean/", "audit/", "evidence/")
 TYPES = {".md": "markdown", ".py": "python", ".toml": "toml", ".yaml": "yaml", ".yml": "yaml", ".json": "json"}
 API_KEY = r"(?i)(?:api[_-]?key|secret|token|password)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{16,}"
 PRIVATE_KEY = "-----BEGIN [A-Z ]*PRIVATE KEY-----"
@@ -34,14 +33,14 @@ def file_type(path: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv]), extension(path)), F.lit("other"))
 
 
-def exclusion(path: Column) -> Column:
-    """Why a file is left out: the first reason that holds, else null."""
+def exclusion(path: Column, prefixes: tuple[str, ...] = (), folders: tuple[str, ...] = FOLDERS) -> Column:
+    """Why a file is left out: the first reason that holds, else null. ``prefixes`` are a project's own paths to leave out."""
     parts, name = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
     prefix = F.lit(False)
-    for p in PREFIXES:
+    for p in prefixes:
         prefix = prefix | F.startswith(path, F.lit(p))
     return (
-        F.when(F.arrays_overlap(parts, F.array(*[F.lit(x) for x in FOLDERS])), "excluded folder").when(extension(path).isin(*EXTENSIONS), "excluded extension").when(name.isin(*NAMES), "excluded name")
+        F.when(F.arrays_overlap(parts, F.array(*[F.lit(x) for x in folders])), "excluded folder").when(extension(path).isin(*EXTENSIONS), "excluded extension").when(name.isin(*NAMES), "excluded name")
         .when(prefix, "excluded prefix").when(file_type(path) == "other", "unsupported type")
     )
 
@@ -61,9 +60,9 @@ def read_project(spark: SparkSession, root: str) -> DataFrame:
     return raw.select(F.regexp_replace("path", "^.*?" + root.strip("/").replace(".", r"\.") + "/", "").alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def manifest(files: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """Files with type, reason for exclusion and status; ``include`` and ``exclude`` are patterns on paths."""
-    reason = exclusion(F.col("path"))
+def manifest(files: DataFrame, include: str | None = None, exclude: str | None = None, prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """Files with type, reason for exclusion and status; ``include`` and ``exclude`` are patterns on paths, ``prefixes`` paths to leave out."""
+    reason = exclusion(F.col("path"), prefixes)
     if include:
         reason = F.coalesce(reason, F.when(~F.rlike("path", F.lit(include)), "not included"))
     if exclude:
@@ -129,8 +128,11 @@ def python_segments(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, kind string, name string, parent string, line long, until long, signature string, doc string, command string, option string")
 
 
-def config_entries(kind: str, text: str) -> list[tuple[str, str, str]]:
-    """(key, entry kind, value) of a configuration's top level; the whole text as one entry when it doesn't parse."""
+def config_entries(kind: str, text: str, most: int = 50, value: int = 2000) -> list[tuple[str, str, str]]:
+    """(key, entry kind, value) of a configuration's top level; the whole text as one entry when it doesn't parse.
+
+    Of a list the first ``most`` items are entries, and values are cut at ``value`` characters: both are the feature's limits.
+    """
     try:
         if kind == "json":
             data = json.loads(text)
@@ -147,10 +149,10 @@ def config_entries(kind: str, text: str) -> list[tuple[str, str, str]]:
     except Exception:  # any parser's error means the same here
         return [("", "file", text)]
     if isinstance(data, list):
-        return [(f"[{i}]", "item", str(v)[:2000]) for i, v in enumerate(data[:50])]
+        return [(f"[{i}]", "item", str(v)[:value]) for i, v in enumerate(data[:most])]
     if not isinstance(data, dict):
         return [("", "file", text)]
-    return [(str(k), "table" if isinstance(v, dict) else "key", json.dumps(v, default=str, ensure_ascii=False)[:2000]) for k, v in data.items()]
+    return [(str(k), "table" if isinstance(v, dict) else "key", json.dumps(v, default=str, ensure_ascii=False)[:value]) for k, v in data.items()]
 
 
 def config_segments(files: DataFrame) -> DataFrame:

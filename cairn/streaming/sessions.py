@@ -44,11 +44,10 @@ def ingest(stream: DataFrame, path: str, key: str, checkpoint: str):
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
-        except Exception as e:  # nothing is stored before the first batch
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        # Nothing is stored before the first batch.
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            fresh = fresh.join(spark.read.schema(batch.schema).parquet(path).select(key), key, "left_anti")
         fresh.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
