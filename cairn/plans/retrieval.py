@@ -280,3 +280,37 @@ def option_and_symbol_match(spark, sf):
     raw = F.concat(F.lit("--"), F.col("p_type"), F.lit("-Size"))
     other = F.concat(F.lower("p_type"), F.lit("_size"))
     return p.select("p_partkey", ids.cli_option(raw).alias("option"), ids.cli_options_match(raw, other).alias("same"), ids.symbols_match(F.lower("p_type"), F.when(F.lower("p_type").like("e%"), F.col("p_type")).otherwise("Zzz")).alias("symbol"))
+
+
+# Questions with every intent, type hints and projects, and documents with the words that these look for.
+WORDS = ("antes", "atual", "proximo", "risco", "bloqueio", "decision atual", "checkpoint fazer", "")
+TOLD = f"""d2 AS (SELECT * REPLACE (text || CASE doc_id % 7 WHEN 0 THEN ' Pendente, tarefa' WHEN 1 THEN ' risco: bloqueio, impede, conclusao' ELSE '' END AS text) FROM documents),
+b2 AS (SELECT item_id, text || ' ' || list_extract([{', '.join(f"'{w}'" for w in WORDS)}], (item_id % 8 + 1)::INT) AS text, CASE WHEN item_id % 3 = 0 THEN 'src' || (item_id % 5) END AS project_q FROM benchmark), """
+TOLD_CHANNELS = TOLD + CHANNELS.replace("FROM documents", "FROM d2").replace("SELECT item_id AS query_id, ", "SELECT item_id AS query_id, ").replace("FROM benchmark)", "FROM b2)").replace(
+    " FROM q CROSS JOIN memories", ", CASE WHEN memories.project_id = p2.project_q THEN 0.4 ELSE 0 END::DOUBLE AS project FROM q CROSS JOIN memories JOIN b2 p2 ON p2.item_id = q.query_id")
+
+
+def _told(spark, sf):
+    m = F.col("doc_id") % 7
+    docs = table(spark, sf, "documents").withColumn("text", F.concat("text", F.when(m == 0, " Pendente, tarefa").when(m == 1, " risco: bloqueio, impede, conclusao").otherwise("")))
+    word = F.element_at(F.array(*[F.lit(w) for w in WORDS]), (F.col("item_id") % 8 + 1).cast("int"))
+    project = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit("src"), (F.col("item_id") % 5).cast("string")))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "text", word).alias("query"), project.alias("project_id"))
+    return memories(spark, sf, docs), relations(spark, sf, docs), q
+
+
+@query(f"WITH {TOLD_CHANNELS}, " + _ranked().replace("bonus + lexical", "bonus + project * 0.6::DOUBLE + lexical") + " SELECT query_id, id, type_name, score, rank FROM ranked")
+def hybrid_rank_intents(spark, sf):
+    """Hybrid ranking where intents, type hints, projects and keywords count."""
+    from ..operators import store
+
+    m, r, q = _told(spark, sf)
+    return ranking.hybrid(ranking.hybrid_channels(m, store.cut(ranking.terms(m, "id", "content")), r, q)).select("query_id", "id", "type_name", "score", "rank")
+
+
+@query("""SELECT p_partkey AS id, unnest(['mac_address', 'serial_number', 'protocol_number', 'ticket_number', 'file_path']) AS field,
+ unnest(['AA:BB:CC:DD:0E:' || (10 + p_partkey % 90), 'SN-' || p_partkey || 'X', '12/' || p_partkey, p_partkey::VARCHAR, 'src/a' || p_partkey || '.py']) AS raw FROM part""")
+def identifier_hint_fields(spark, sf):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("MAC AA:BB:CC:DD:0E:"), (F.col("p_partkey") % 90 + 10).cast("string"), F.lit(" serial SN-"), k, F.lit("X protocolo 12/"), k, F.lit(" ticket #"), k, F.lit(" in src/a"), k, F.lit(".py"))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.explode(ids.hints(text)).alias("h")).select("id", "h.field", "h.raw")

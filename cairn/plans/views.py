@@ -10,8 +10,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def memories(spark: SparkSession, sf: str) -> DataFrame:
-    d, y = table(spark, sf, "documents"), table(spark, sf, "labels")
+def memories(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
+    d, y = table(spark, sf, "documents") if documents is None else documents, table(spark, sf, "labels")
     kind = F.when(F.col("lang") == "fr", "decision").when(F.col("lang") == "de", "hypothesis").when(F.col("lang") == "es", "checkpoint").otherwise("fact")
     status = F.when(F.col("toxic") == 1, "contradicted").when(F.col("quality") == 1, "verified").when(F.col("quality") == 0, "obsolete").otherwise("registered")
     decision = F.when(F.col("lang") == "fr", F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "superseded"))
@@ -21,9 +21,9 @@ def memories(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def relations(spark: SparkSession, sf: str) -> DataFrame:
+def relations(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     """Each document with the text of an earlier one is similar to the first that has it."""
-    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    d = (table(spark, sf, "documents") if documents is None else documents).select("doc_id", F.sha2("text", 256).alias("h"))
     first = d.groupBy("h").agg(F.min("doc_id").alias("target_id"))
     return d.join(first, "h").where("doc_id <> target_id").select(F.col("doc_id").alias("source_id"), "target_id", F.lit("similar_to").alias("relation_type"), F.col("doc_id").alias("rank"))
 
