@@ -48,7 +48,7 @@ def search(s: Store, text: str, project: str | None, strategy: str, k: int) -> D
     pool = r if project is None else r.where(F.col("project_id") == project)
     q = _question(s.spark, text, project)
     if strategy == "hybrid":
-        ranked = ranking.hybrid(ranking.hybrid_channels(pool, store.cut(ranking.terms(r, "id", "content")), e, q, k), k)
+        ranked = ranking.hybrid(ranking.hybrid_channels(pool, e, q, k, corpus=r), k)
         return ranked.join(r.select("id", "content"), "id")
     d, t = ranking.terms(r, "id", "content"), ranking.terms(q, "query_id", "query")
     if strategy == "lexical":
@@ -81,7 +81,7 @@ def evaluate(s: Store, path: str, ablation: bool) -> DataFrame:
     grade = F.coalesce(F.try_element_at("relevance_grades", F.col("id")), F.lit(1.0))
     gold = cases.select("query_id", "relevance_grades", F.explode("expected_ids").alias("id")).select("query_id", "id", grade.alias("grade"))
     variants = ranking.ABLATIONS if ablation else {"full": {}}
-    ch = store.cut(ranking.hybrid_channels(r, store.cut(ranking.terms(r, "id", "content")), e, q, variants=tuple(variants.values())))
+    ch = store.cut(ranking.hybrid_channels(r, e, q, variants=tuple(variants.values())))
     out = None
     for name, weights in variants.items():
         ranked = store.cut(ranking.hybrid(ch, weights=weights))
