@@ -47,20 +47,27 @@ def identifier_exact(hints: DataFrame, stored: DataFrame) -> DataFrame:
 def identifier_partial(hints: DataFrame, stored: DataFrame) -> DataFrame:
     """(query_id, id, field, score): one value begins or ends the other; 0.55 * shorter / longer.
 
-    Equal first or last characters (as many as the least length asks for) are the join
-    key, so no hint meets every stored value.
+    The whole shorter value is the join key: each value meets those that equal one of the longer one's
+    beginnings or ends, of lengths that the other side has. Equal values are one row on either side until they are matched.
     """
     n = PARTIAL_FROM
+    own = hints.select("query_id", "field", "norm").where(F.length("norm") >= n)
+    have = stored.select("id", "field", F.col("norm").alias("snorm")).where(F.length("snorm") >= n)
+    a, b = own.select("field", "norm").distinct(), have.select("field", "snorm").distinct()
 
-    def keyed(df: DataFrame) -> DataFrame:
-        ends = F.array(F.concat(F.lit("<"), F.substring("norm", 1, n)), F.concat(F.lit(">"), F.right(F.col("norm"), F.lit(n))))
-        return df.where(F.length("norm") >= n).withColumn("end", F.explode(ends))
+    def sizes(df: DataFrame, c: str) -> DataFrame:
+        return df.groupBy("field").agg(F.array_sort(F.collect_set(F.length(c))).alias("sizes"))
+
+    def ends(longer: DataFrame, c: str, shorter: DataFrame, d: str) -> DataFrame:
+        """Pairs where ``d`` is a proper beginning or end of ``c``."""
+        text = F.col(c)
+        cuts = F.flatten(F.transform(F.filter("sizes", lambda k: k < F.length(text)), lambda k: F.array(F.substring(text, F.lit(1), k), F.right(text, k))))
+        return longer.join(F.broadcast(sizes(shorter, d)), "field").select("field", c, F.explode(F.array_distinct(cuts)).alias(d)).join(shorter, ["field", d]).select("field", "norm", "snorm")
 
-    a, b = keyed(hints.select("query_id", "field", "norm")), keyed(stored.select("id", "field", F.col("norm").alias("norm"))).withColumnRenamed("norm", "snorm")
     q, s = F.col("norm"), F.col("snorm")
-    fits = (q != s) & (F.startswith(q, s) | F.startswith(s, q) | F.endswith(q, s) | F.endswith(s, q))
     share = F.lit(PARTIAL) * F.least(F.length(q), F.length(s)) / F.greatest(F.length(q), F.length(s))
-    return a.join(b, ["field", "end"]).where(fits).groupBy("query_id", "id", "field").agg(F.max(share).alias("score"))
+    met = ends(b, "snorm", a, "norm").union(ends(a, "norm", b, "snorm")).withColumn("score", share)
+    return own.join(met, ["field", "norm"]).join(have, ["field", "snorm"]).groupBy("query_id", "id", "field").agg(F.max("score").alias("score"))
 
 
 def commit_matches(queries: DataFrame, stored: DataFrame) -> DataFrame:
@@ -78,21 +85,42 @@ def complete(field: Column, raw: Column) -> Column:
     return (F.length(raw) >= least) & ~bare & digit
 
 
+def counted(stored: DataFrame) -> DataFrame:
+    """(field, norm, n): the records of each identifier."""
+    return stored.groupBy("field", "norm").agg(F.countDistinct("id").alias("n"))
+
+
 def constraint(hints: DataFrame, matches: DataFrame) -> DataFrame:
-    """(query_id, status, n_matches) for queries with hints; ``matches`` is (query_id, field, norm, id).
+    """(query_id, status, n_matches) for queries with hints; ``matches`` is (query_id, field, norm, id)."""
+    return constraint_of(hints, matches.groupBy("query_id", "field", "norm").agg(F.countDistinct("id").alias("n")))
+
+
+def constraint_of(hints: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query_id, status, n_matches) for queries with hints; ``counts`` is (field, norm, n), each query's own or of all records (``counted``).
 
     Hints are grouped by canonical value: nothing matched and something complete, or
     a complete value matched by nothing, is NOT_FOUND; otherwise what is missing
     makes it PARTIAL, one match MATCHED_UNIQUE, more MATCHED_MULTIPLE.
     """
-    m = matches.groupBy("query_id", "field", "norm").agg(F.countDistinct("id").alias("n"))
-    h = hints.join(m, ["query_id", "field", "norm"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "sure": complete(F.col("field"), F.col("raw")) | (F.col("field") == "commit_sha")})
+    h = hints.join(counts, [c for c in ("query_id", "field", "norm") if c in counts.columns], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "sure": complete(F.col("field"), F.col("raw")) | (F.col("field") == "commit_sha")})
     g = h.groupBy("query_id", "norm").agg(F.sum("n").alias("n"), F.max("sure").alias("sure"))
     q = g.groupBy("query_id").agg(F.sum("n").cast("long").alias("n_matches"), F.min("n").alias("low"), F.max(F.col("sure") & (F.col("n") == 0)).alias("sure_miss"))
     status = F.when((F.col("low") == 0) & F.col("sure_miss"), "NOT_FOUND").when(F.col("low") == 0, "PARTIAL").when(F.col("n_matches") == 1, "MATCHED_UNIQUE").otherwise("MATCHED_MULTIPLE")
     return q.select("query_id", status.alias("status"), "n_matches")
 
 
+def identifier_best(hints: DataFrame, stored: DataFrame, records: DataFrame, pool: int = POOL) -> DataFrame:
+    """(query_id, id) of the exact matches that ``ranked`` can keep where nothing but an identifier speaks for a record: of each
+    identifier the best ``pool`` records, which rank alike for every query that names it. Records without a positive score are left out."""
+    scores = final_score(records.withColumn("identifier", F.lit(1.0))).where("final > 0").select("id", "final", "created_at")
+    order = [F.desc("final"), F.desc("created_at"), F.asc("id")]
+    s = stored.select("id", "field", "norm").distinct().join(scores, "id").withColumn("__part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    # First of each of 64 parts of an identifier's records, then of what these leave: no task sorts all of them.
+    near = s.withColumn("__p", F.row_number().over(Window.partitionBy("field", "norm", "__part").orderBy(*order))).where(F.col("__p") <= pool)
+    first = near.withColumn("__p", F.row_number().over(Window.partitionBy("field", "norm").orderBy(*order))).where(F.col("__p") <= pool)
+    return identifier_exact(hints, first).select("query_id", "id").distinct()
+
+
 def final_score(channels: DataFrame) -> DataFrame:
     """``final`` from channel columns (missing ones count 0), status, type and intent columns."""
     have = set(channels.columns)

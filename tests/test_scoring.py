@@ -40,3 +40,33 @@ def test_scores_equal_the_plain_joins(spark, monkeypatch):
 def test_rounds_as_spark(spark):
     x = [0.0078125, 0.2578125, 1.0000005, 0.1234565, -0.0000015, 0.3333333333, 2.5e-7, 5e-7]
     assert scoring.rounded(np.array(x)).tolist() == [r[0] for r in spark.createDataFrame([(v,) for v in x], "v double").select(F.round("v", 6)).collect()]
+
+
+def test_partial_identifiers_by_brute_force(spark):
+    """Beginnings and ends in both directions, each pair at its best share, no equal values."""
+    from cairn.operators import assisted
+
+    values = ["ABCD", "ABCDE", "XABCD", "ABCDABCD", "BCDE", "ABC", "ZZZZ1", "ABCDE"]
+    stored = spark.createDataFrame([(i, "serial_number", v) for i, v in enumerate(values)], "id long, field string, norm string")
+    hints = spark.createDataFrame([(10 + i, "serial_number", v) for i, v in enumerate(values)] + [(99, "ticket_number", "ABCD")], "query_id long, field string, norm string")
+    fits = lambda a, b: min(len(a), len(b)) >= 4 and a != b and (a.startswith(b) or b.startswith(a) or a.endswith(b) or b.endswith(a))
+    want = {(10 + i, j): round(0.55 * min(len(a), len(b)) / max(len(a), len(b)), 9) for i, a in enumerate(values) for j, b in enumerate(values) if fits(a, b)}
+    got = assisted.identifier_partial(hints, stored)
+    assert {(r.query_id, r.id): round(r.score, 9) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "StartsWith" not in plan and "EndsWith" not in plan
+
+
+def test_a_shared_identifier_needs_no_pairs(spark):
+    """Status and ranking of many queries that name one identifier of many records, without each query's pairs with all of them."""
+    from cairn.operators import assisted
+
+    rec = spark.range(300).selectExpr("id", "map('ticket_number', if(id < 299, '7', '8')) AS metadata", "id % 100 AS created_at", "if(id % 3 = 0, 'superseded', 'verified') AS status")
+    q = spark.createDataFrame([(i, "ticket 7" if i else "ticket 8") for i in range(20)], "query_id long, query string")
+    h, s = assisted.query_hints(q), assisted.stored_identifiers(rec)
+    pairs = assisted.identifier_exact(h, s)
+    assert sorted(assisted.constraint_of(h, assisted.counted(s)).collect()) == sorted(assisted.constraint(h, pairs).collect())
+    few = assisted.identifier_best(h, s, rec, pool=5)
+    assert few.count() == 19 * 5 + 1
+    rank = lambda p: sorted((r.query_id, r.rank, r.id) for r in assisted.ranked(assisted.final_score(p.select("query_id", "id", F.lit(1.0).alias("identifier")).join(rec, "id")), 5).collect())
+    assert rank(few) == rank(pairs)
