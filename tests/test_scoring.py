@@ -70,3 +70,24 @@ def test_a_shared_identifier_needs_no_pairs(spark):
     assert few.count() == 19 * 5 + 1
     rank = lambda p: sorted((r.query_id, r.rank, r.id) for r in assisted.ranked(assisted.final_score(p.select("query_id", "id", F.lit(1.0).alias("identifier")).join(rec, "id")), 5).collect())
     assert rank(few) == rank(pairs)
+
+
+def test_channels_by_distinct_values(spark):
+    """Copies of queries and records, with filters and missing fields: the pairs and scores of the plain channels, each pair once."""
+    from cairn.operators import channels
+
+    meta = [
+        {"source_path": "src/a/run.py", "qualified_name": "a.RunIt", "cli_command": "run-it", "cli_option": "--dry-size", "manufacturer": "Toledo", "environment": "produção"},
+        {"source_path": "tests/run.py", "source_heading": "RunIt", "cli_command": "run", "manufacturer": "Filizola", "serial_number": "X-1"}, {},
+    ]
+    r = spark.createDataFrame([(i, meta[i % 3], f"p{i % 2}") for i in range(24)], "id long, metadata map<string,string>, project_id string")
+    texts = ["open src/a/run.py", "see RunIt run-it", "x --dry-size da toledo em produção fila", "nada"]
+    q = spark.createDataFrame([(i, texts[i % 4], None, {"manufacturer": " TOLEDO"} if i % 5 == 0 else {"serial_number": "x1"} if i % 5 == 1 else {}) for i in range(40)], "query_id long, query string, project_id string, filters map<string,string>")
+    projects = spark.createDataFrame([("p0", "Fila"), ("p1", "Outra")], "project_id string, name string")
+    rows = lambda df: sorted((x.query_id, x.id, x.score) for x in df.collect())
+    for name in ("path", "symbol", "cli"):
+        got = rows(getattr(channels, f"{name}_matches")(q, r))
+        assert got and got == rows(getattr(channels, f"{name}_pairs")(q, r)), name
+    for asked in (q, q.drop("filters")):
+        got = rows(channels.metadata_matches(asked, r, projects))
+        assert got and got == rows(channels.metadata_pairs(asked, r, projects))
