@@ -3,8 +3,8 @@
 Method: every text gives the counts of the base rules and ratios made of them. An
 isolation forest cuts random sub-samples by random splits; rows that fall alone
 after few cuts are anomalous. The forest is built from a sample of at most
-``SAMPLE`` rows by hash, and the path length below which a row is rejected is
-calibrated on at most ``CALIBRATION`` labelled rows: the one with the largest difference
+``SAMPLE`` rows by hash, as the method does (a tree sees 256 rows); the path length below which a row is
+rejected is calibrated on all labelled rows: the one with the largest difference
 between the rejected shares of quality 0 and of quality 1. Labels flipped at random
 shrink that difference alike at every threshold, so noise doesn't move its place.
 
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import cut, pick
 from .shingles import mix
 
-SAMPLE, CALIBRATION = 8_192, 20_000
+SAMPLE = 8_192
 TREES, SUBSAMPLE = 128, 256
+#: Paths are numbers of so many places, a few ten thousand at most, so that those of all labelled rows can be counted.
+PATH_PLACES = 3
 #: Factor of the two-sample Kolmogorov-Smirnov bound at 5 %: labels that differ less don't set a threshold.
 CHANCE = 1.36
 SYMBOLS = re.compile(r"[#*$%&|<>]")
@@ -156,12 +158,19 @@ class Forest:
 
 def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     """The path length under which rows go: it separates the paths of both labels best."""
-    if not len(good) or not len(bad):
-        return float("-inf")
     edges = np.unique(np.concatenate([good, bad]))
-    caught, lost = (np.searchsorted(np.sort(x), edges) / len(x) for x in (bad, good))
+    good, bad = np.sort(good), np.sort(bad)
+    return counted_threshold(edges, *(np.searchsorted(x, edges, "right") - np.searchsorted(x, edges) for x in (good, bad)))
+
+
+def counted_threshold(edges: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The same of ascending paths and how many rows of either label have each."""
+    n_good, n_bad = good.sum(), bad.sum()
+    if not n_good or not n_bad:
+        return float("-inf")
+    caught, lost = ((np.cumsum(x) - x) / x.sum() for x in (bad, good))
     best = int(np.argmax(caught - lost))
-    return float(edges[best]) if caught[best] - lost[best] > CHANCE * np.sqrt(1 / len(good) + 1 / len(bad)) else float("-inf")
+    return float(edges[best]) if caught[best] - lost[best] > CHANCE * np.sqrt(1 / n_good + 1 / n_bad) else float("-inf")
 
 
 def _sampled(df: DataFrame, key: str, most: int, seed: int) -> DataFrame:
@@ -174,28 +183,33 @@ def base_failed():
     return (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
 
 
-def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, calibration: int = CALIBRATION) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row a document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, path."""
     source = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
     stats = cut(source.mapInArrow(_measure, f"doc_id long, {COUNTS}, features array<double>").withColumn("base_failed", base_failed()))
     drawn = _sampled(stats.where("NOT base_failed"), "doc_id", sample, 3).select("doc_id", "features").orderBy("doc_id").collect()
-    forest, least = None, float("-inf")
-    if len(drawn) > 1:
-        forest = Forest(np.array([r.features for r in drawn]))
-        y = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
-        y = cut(_sampled(y, "doc_id", calibration, 4))
-        # The labelled rows are bounded by the sample, so they are the side that is broadcast.
-        known = stats.where("NOT base_failed").join(F.broadcast(y), "doc_id").select("quality", "features").collect()
-        good = np.array([r.features for r in known if r.quality == 1]).reshape(-1, len(FEATURES))
-        bad = np.array([r.features for r in known if r.quality == 0]).reshape(-1, len(FEATURES))
-        least = threshold(forest.path(good), forest.path(bad))
+    forest = Forest(np.array([r.features for r in drawn])) if len(drawn) > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column(6).to_pylist(), float).reshape(-1, len(FEATURES))
-            path = forest.path(x) if forest and len(x) else np.zeros(len(x))
+            path = np.round(forest.path(x), PATH_PLACES) if forest and len(x) else np.zeros(len(x))
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(path)], names=[*b.schema.names[:6], "path"])
 
+    least = float("-inf")
+    if forest:
+        # Every labelled row counts: a row for each path and label comes to the driver.
+        y = pick(labels, "doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+        known = stats.where("NOT base_failed").join(y, "doc_id").select(*[c for c in stats.columns if c != "base_failed"], "quality")
+
+        def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x = np.array(b.column(6).to_pylist(), float).reshape(-1, len(FEATURES))
+                yield pa.RecordBatch.from_arrays([b.column(7), pa.array(np.round(forest.path(x), PATH_PLACES) if len(x) else np.zeros(0))], names=["quality", "path"])
+
+        told = known.mapInArrow(paths, "quality int, path double").groupBy("path").agg(F.count_if(F.col("quality") == 1).alias("good"), F.count_if(F.col("quality") == 0).alias("bad")).orderBy("path").collect()
+        least = counted_threshold(*(np.array([r[i] for r in told], float) for i in range(3)))
+
     plain = stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "features")
     out = plain.mapInArrow(run, f"doc_id long, {COUNTS}, path double").withColumn("base_failed", base_failed())
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.col("path") >= least)).alias("kept"), "path")

@@ -109,3 +109,16 @@ def test_nearest_by_brute_force(spark):
         cos = [-2 if not norm[i] else round(float(e[q] @ e[i] / (norm[q] * norm[i])), 5) for i in range(300)]
         want = sorted((i for i in range(300) if i != q), key=lambda i: (-cos[i], i))[:5]
         assert {(q, i) for i in want} <= found
+
+
+def test_threshold_counts_every_label():
+    """Counts of paths give what the paths themselves give; no number of labels is left out."""
+    from cairn.llm import quality
+
+    rng = np.random.default_rng(1)
+    good, bad = (np.round(rng.normal(m, 1.0, n), 3) for m, n in ((9.0, 50_000), (7.0, 3_000)))
+    edges = np.unique(np.concatenate([good, bad]))
+    gap = [(bad < e).mean() - (good < e).mean() for e in edges[::50]]
+    best = quality.counted_threshold(edges, *(np.searchsorted(np.sort(x), edges, "right") - np.searchsorted(np.sort(x), edges) for x in (good, bad)))
+    assert best == quality.threshold(good, bad) and (bad < best).mean() - (good < best).mean() >= max(gap)
+    assert not hasattr(quality, "CALIBRATION")
