@@ -93,6 +93,32 @@ def test_channels_by_distinct_values(spark):
         assert got and got == rows(channels.metadata_pairs(asked, r, projects))
 
 
+def test_candidates_rank_as_all_pairs(spark):
+    """Copies, scopes, filters, intents and identifiers: the first of each query's ranking as from all its pairs, from a small share of them."""
+    from cairn.operators import assisted, channels, store
+
+    kinds, meta = ("fact", "decision", "hypothesis"), [
+        {"source_path": "src/a/run.py", "qualified_name": "a.RunIt", "cli_command": "run-it", "manufacturer": "Toledo"}, {"source_path": "tests/run.py", "cli_option": "--dry-size", "manufacturer": "Filizola"}, {"environment": "fila"}, {},
+    ]
+    rows = [
+        (i, kinds[i % 3], "balança da fila" if i % 2 else "lote noturno", "superseded" if i % 5 == 0 else "verified", ("superseded" if i % 5 == 0 else "active") if i % 3 == 1 else None, f"p{i % 2}", i * 7 % 50 if i % 11 else None, i % 7 == 0,
+         {**meta[i % 4], **({"serial_number": f"SN-100{i % 3}"} if i % 6 == 0 else {}), "commit_sha": f"{i:08x}" * 5})
+        for i in range(240)
+    ]
+    r = spark.createDataFrame(rows, "id long, type string, content string, status string, decision_status string, project_id string, created_at long, dated boolean, metadata map<string,string>")
+    day = F.lit("2024-01-01").cast("timestamp")
+    r = r.withColumns({"hypothesis_state": F.lit(None).cast("string"), "valid_from": F.when(F.col("dated"), day), "valid_to": F.lit(None).cast("timestamp")})
+    texts = ["run-it balança", "a RunIt vigente", "fila antiga da toledo", "serial SN-1001 atual", "commit 0000000a lote", "nada vigente", "abrir src/a/run.py --dry-size"]
+    filters = [{}, {"manufacturer": " TOLEDO"}, {"serial_number": "sn1001"}]
+    q = spark.createDataFrame([(i, texts[i % 7], "p1" if i % 4 == 0 else None, filters[i % 3 if i > 20 else 0]) for i in range(84)], "query_id long, query string, project_id string, filters map<string,string>")
+    projects = spark.createDataFrame([("p0", "Fila"), ("p1", "Outra")], "project_id string, name string")
+    rel = spark.createDataFrame([(1, 3, "references", 1), (5, 3, "references", 2)], "source_id long, target_id long, relation_type string, rank long")
+    every, few = (store.cut(f(q, r, rel, day, projects, 4)) for f in (channels.scored, channels.candidates))
+    rank = lambda df: sorted((x.query_id, x.rank, x.id, x.final, x.segments, *[x[c] for c in (*channels.CHANNELS, "relation", "temporal")]) for x in assisted.ranked(df, 4).collect())
+    assert set(every.columns) == set(few.columns) and rank(few) == rank(every)
+    assert few.count() < every.count() / 3
+
+
 def test_nearest_by_brute_force(spark):
     """Copies, vectors of zeros and none: each query's best rows by the rounded cosine and the key are among those handed out, and these are few."""
     rng = np.random.default_rng(3)
