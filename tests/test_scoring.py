@@ -140,6 +140,20 @@ def test_filters_by_distinct_values(spark):
     assert seen[0] <= 8 < len(want)
 
 
+def test_an_identifier_of_many_is_dealt_out(spark, monkeypatch):
+    """Every pair once, and no task makes most of the pairs of one identifier."""
+    from cairn.operators import assisted
+
+    monkeypatch.setattr(assisted, "SHARE", 500)
+    h = spark.createDataFrame([(i, "ticket_number", "7" if i < 100 else str(i)) for i in range(120)], "query_id long, field string, norm string")
+    s = spark.createDataFrame([(i, "ticket_number", "7" if i < 200 else str(i - 100)) for i in range(230)] + [(900, "serial_number", "7")], "id long, field string, norm string")
+    pairs = assisted.identifier_exact(h, s)
+    want = sorted((q, i) for q in range(100) for i in range(200)) + [(q, q + 100) for q in range(100, 120)]
+    assert sorted((x.query_id, x.id) for x in pairs.collect()) == want
+    made = [x["count"] for x in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(made) > 4 and max(made) < len(want) / 3
+
+
 def test_nearest_by_brute_force(spark):
     """Copies, vectors of zeros and none: each query's best rows by the rounded cosine and the key are among those handed out, and these are few."""
     rng = np.random.default_rng(3)
