@@ -21,6 +21,12 @@ def memories(spark: SparkSession, sf: str, documents: DataFrame | None = None) -
     )
 
 
+def texts(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
+    """(id, content) of ``memories`` as they are read, without the join of labels: what reads texts shuffles none."""
+    d = table(spark, sf, "documents") if documents is None else documents
+    return d.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+
+
 def relations(spark: SparkSession, sf: str, documents: DataFrame | None = None) -> DataFrame:
     """Each document with the text of an earlier one is similar to the first that has it."""
     d = (table(spark, sf, "documents") if documents is None else documents).select("doc_id", F.sha2("text", 256).alias("h"))

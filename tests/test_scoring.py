@@ -200,3 +200,49 @@ def test_threshold_counts_every_label():
     best = quality.counted_threshold(edges, *(np.searchsorted(np.sort(x), edges, "right") - np.searchsorted(np.sort(x), edges) for x in (good, bad)))
     assert best == quality.threshold(good, bad) and (bad < best).mean() - (good < best).mean() >= max(gap)
     assert not hasattr(quality, "CALIBRATION")
+
+
+def test_words_of_many_texts_at_once(spark, monkeypatch):
+    """Split by their bytes together: each text's words are those that the expressions on columns give, at its edges too."""
+    from cairn.functions import text as tx
+
+    texts = ["Ação É ÀÇÃO", "fim", "de a1 b", None, "", "x", "œuvre straße Ünïcode…K9 İx ÿÿ æa", "日本abc語de", "fim", "a" * 300, "ab" + "ÿ" * 3, "ç", "1 22"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    want = [sorted(r.w or []) for r in df.orderBy("id").select(tx.tokens(F.col("t")).alias("w")).collect()]
+    low = df.orderBy("id").select(F.lower("t").alias("t")).toArrow().column(0).combine_chunks()
+    for part, first in ((low, 0), (low.slice(1, 9), 1), (low.slice(3, 2), 3)):
+        row, words, place = scoring.split(part)
+        got = [sorted(words.take(place[row == i]).to_pylist()) for i in range(len(part))]
+        assert got == want[first : first + len(part)]
+    row, words, place = scoring.split(low.slice(0, 1).cast("string"), False)
+    assert words.take(place).to_pylist() == []
+    monkeypatch.setattr(scoring, "BYTES", 10)
+    sizes = [b.num_rows for b in scoring._sliced(iter([df.toArrow().combine_chunks().to_batches()[0]]), 1)]
+    assert sum(sizes) == len(texts) and len(sizes) > 5
+
+
+def joined_texts(df):
+    """Joins of a plan that hand texts on."""
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    walk = lambda node: [node, *[x for c in each(node.children()) for x in walk(c)]]
+    return [n for n in walk(df._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join" and {"text", "content"} & {a.name() for a in each(n.output())}]
+
+
+def test_texts_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """No text passes a shuffle or join on its way to its scores, and no more than the most frequent terms reach the driver."""
+    from cairn.plans import views
+
+    spark.createDataFrame([(i, f"texto {i} da fila", "en", "s", 9) for i in range(50)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(0, 50, 2)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    m, t = views.memories(spark, str(tmp_path)), views.texts(spark, str(tmp_path))
+    assert sorted(t.collect()) == sorted(m.select("id", "content").collect())
+    batch = scoring.Batch(spark.createDataFrame([(1, "fila")], "query_id long, query string"))
+    base, plain = (ranking.light(m, views.relations(spark, str(tmp_path)), *x) for x in ((t,), ()))
+    assert sorted(base.collect()) == sorted(plain.collect())
+    frequency = scoring.document_frequency(t, "content")
+    assert joined_texts(plain)
+    assert not any(joined_texts(df) for df in (base, frequency, scoring.vectors(t, batch, "id", "content")))
+    monkeypatch.setattr(scoring, "FREQUENT", 3)
+    assert {(r.term, r.df) for r in scoring.frequent(frequency).collect()} == {("text", 50), ("fil", 50)}
+    monkeypatch.setattr(scoring, "FREQUENT", 1)
+    assert scoring.frequent(frequency).collect() == []
