@@ -291,3 +291,53 @@ def test_conflict_pairs_rank_once(spark, monkeypatch):
     got = registry.QUERIES["conflict_pairs"](spark, "")
     assert [tuple(r) for r in got.collect()] == [(1, 3, 4)]
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_channels_by_what_can_match(spark, monkeypatch):
+    """Queries that differ only in words no value has are asked once; odd white space, names inside words, empty and missing queries give the plain channels' pairs."""
+    from cairn.operators import channels
+
+    meta = [
+        {"source_path": "src/a/run.py", "qualified_name": "a.RunIt", "cli_command": "run-it", "cli_option": "--dry-size", "manufacturer": "Toledo", "environment": "sala  de testes"},
+        {"source_path": "tests/run.py", "source_heading": "RunIt", "cli_command": "run", "manufacturer": " Filizola", "branch": "a\tb"}, {"device_model": "prix quatro"}, {},
+    ]
+    r = spark.createDataFrame([(i, meta[i % 4], f"p{i % 2}") for i in range(24)], "id long, metadata map<string,string>, project_id string")
+    texts = ["commit {0} run it da toledo", "{0} RunIt prix {0} quatro", "prix quatro {0}", "na sala  de testes {0}", "na sala de testes {0}", "x a\tb {0}", "da  filizola {0}", "toledo\tprix {0} quatro", "abrir src/a/run.py --dry-size {0}"]
+    asks = [t.format(f"{i * 2654435761 % 2**32:08x}") for i in range(12) for t in texts] + ["", None, "fila1", "zz1fila1zz", "commit aaf1la99 x"]
+    q = spark.createDataFrame([(i, t, None, {"manufacturer": "toledo"} if i % 10 == 0 else {}) for i, t in enumerate(asks)], "query_id long, query string, project_id string, filters map<string,string>")
+    projects = spark.createDataFrame([("p0", "Fila1"), ("p1", "f1la9")], "project_id string, name string")
+    rows = lambda df: sorted((x.query_id, x.id, x.score) for x in df.collect())
+    seen = {}
+
+    def watched(name):
+        plain = getattr(channels, name)
+        monkeypatch.setattr(channels, name, lambda queries, *more: (seen.setdefault(name, queries.count()), plain(queries, *more))[1])
+        return plain
+
+    for name in ("path", "symbol", "cli"):
+        plain = watched(f"{name}_pairs")
+        assert rows(getattr(channels, f"{name}_matches")(q, r)) == rows(plain(q, r)), name
+    plain = watched("metadata_pairs")
+    for asked in (q, q.drop("filters")):
+        got = rows(channels.metadata_matches(asked, r, projects))
+        assert got and got == rows(plain(asked, r, projects))
+        some = spark.createDataFrame([(i, k) for i in range(60) for k in range(0, 24, 5)], "query_id long, id long")
+        wanted = {(x.query_id, x.id) for x in some.collect()}
+        assert rows(channels.metadata_matches(asked, r, projects, only=some)) == [x for x in got if x[:2] in wanted]
+    assert {k: v < 40 for k, v in seen.items()} == dict.fromkeys(seen, True) and len(seen) == 4
+
+
+def test_pairs_of_copies_are_dealt_out_and_pack(spark, tmp_path, monkeypatch):
+    """Of one value and one text: every pair once, over many tasks, and in an order that a file packs to a small part of a pair's bytes."""
+    from cairn.operators import assisted, channels
+
+    monkeypatch.setattr(assisted, "SHARE", 100_000)
+    q = spark.range(301).selectExpr("id * 7 AS query_id", "'run it' AS query", "CAST(NULL AS string) AS project_id")
+    r = spark.range(3001).selectExpr("id * 11 + 1 AS id", "map('cli_command', 'run') AS metadata")
+    got = channels.cli_matches(q, r)
+    got.write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.count() == out.distinct().count() == 301 * 3001 and out.where("query_id % 7 = 0 AND id % 11 = 1 AND score = 1").count() == 301 * 3001
+    made = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(made) > 4 and max(made) < 301 * 3001 / 3
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 301 * 3001
