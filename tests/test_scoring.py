@@ -341,3 +341,25 @@ def test_pairs_of_copies_are_dealt_out_and_pack(spark, tmp_path, monkeypatch):
     made = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
     assert len(made) > 4 and max(made) < 301 * 3001 / 3
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 301 * 3001
+
+
+def test_retrieval_asks_alike_queries_once(spark, monkeypatch):
+    """Copies of a query are answered once, and those that differ in a word that nothing has meet the classes once; rankings as from all pairs."""
+    from cairn.operators import assisted, channels
+
+    rows = [(i, "fact", "balança da fila" if i % 2 else "lote noturno", "verified", None, None, f"p{i % 2}", i, None, None, {"manufacturer": "Toledo" if i % 3 else "Filizola", "commit_sha": f"{i + 1:08x}" * 5, "qualified_name": f"a.Run{i % 4}"}) for i in range(40)]
+    r = spark.createDataFrame(rows, "id long, type string, content string, status string, decision_status string, hypothesis_state string, project_id string, created_at long, valid_from timestamp, valid_to timestamp, metadata map<string,string>")
+    texts = ["commit {0} da fila toledo", "{0} lote Run1", "fila {0} {0}x atual"]
+    q = spark.createDataFrame([(i * 2 + c, texts[i % 3].format(f"{i * 2654435761 % 2**32:08x}" if i % 5 else f"{i + 1:08x}"), None) for i in range(18) for c in (0, 1)], "query_id long, query string, project_id string")
+    rel = spark.createDataFrame([(1, 3, "references", 1)], "source_id long, target_id long, relation_type string, rank long")
+    seen = {}
+    for name in ("candidates", "text_matches"):
+        monkeypatch.setattr(channels, name, lambda queries, *more, name=name, plain=getattr(channels, name): (seen.setdefault(name, queries.count()), plain(queries, *more))[1])
+    day = F.lit("2024-03-01").cast("timestamp")
+    found, out = channels.retrieve(q, r, rel, day)
+    assert seen == {"candidates": 18, "text_matches": 3} and out.count() == 36
+    got = sorted((x.query_id, x.id, x.final, x.content, x.metadata["manufacturer"]) for x in found.where("rank <= 3").collect())
+    best = channels.not_only_test_text(assisted.ranked(channels.scored(q, r, rel, day)))
+    want = channels.constrained(best, channels.constraint(channels.identifiers_met(q, best)))
+    want = sorted((x.query_id, x.id, x.final, x.content, x.metadata["manufacturer"]) for x in want.withColumn("n", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).where("n <= 3").collect())
+    assert got == want and len({x[0] for x in got}) > 6
