@@ -363,3 +363,22 @@ def test_retrieval_asks_alike_queries_once(spark, monkeypatch):
     want = channels.constrained(best, channels.constraint(channels.identifiers_met(q, best)))
     want = sorted((x.query_id, x.id, x.final, x.content, x.metadata["manufacturer"]) for x in want.withColumn("n", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY rank)")).where("n <= 3").collect())
     assert got == want and len({x[0] for x in got}) > 6
+
+
+def test_test_files_are_left_out_before_pairs(spark):
+    """The pairs that the filter of ranked rows leaves, from a plan that joins no pairs with records' paths."""
+    from cairn.operators import channels
+
+    paths = ["src/a.py", "tests/a.py", "tests\\b.py", None]
+    r = spark.createDataFrame([(i, {"manufacturer": "Toledo" if i % 3 else "Filizola", "commit_sha": f"{i + 1:08x}" * 5, **({"source_path": paths[i % 4]} if paths[i % 4] else {})}, f"p{i % 2}") for i in range(48)], "id long, metadata map<string,string>, project_id string")
+    q = spark.createDataFrame([(i, f"commit {i + 1:08x} da toledo" if i % 2 else "commit 0000000a filizola", None) for i in range(20)], "query_id long, query string, project_id string")
+    projects = spark.createDataFrame([("p1", "da")], "project_id string, name string")
+    rows = channels.metadata_pairs(q, r, projects).join(channels.commit_matches(q, r).withColumnRenamed("score", "commit"), ["query_id", "id"], "left").fillna({"commit": 0.0})
+    rows = rows.join(r.select("id", F.col("metadata")["source_path"].alias("source_path")), "id").withColumns({c: F.lit(0.0) for c in ("identifier", "path", "symbol", "cli")})
+    want = sorted((x.query_id, x.id) for x in channels.not_only_test_text(rows).collect())
+    got = channels.metadata_beyond_tests(q, r, projects)
+    assert sorted((x.query_id, x.id) for x in got.collect()) == want
+    # No join stands above the lists that pairs are made from.
+    assert want and "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    tests = [i for i in range(48) if i % 4 in (1, 2)]
+    assert {i for _, i in want} & set(tests) and len(want) < channels.metadata_pairs(q, r, projects).count()
