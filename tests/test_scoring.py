@@ -382,3 +382,15 @@ def test_test_files_are_left_out_before_pairs(spark):
     assert want and "Join" not in got._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
     tests = [i for i in range(48) if i % 4 in (1, 2)]
     assert {i for _, i in want} & set(tests) and len(want) < channels.metadata_pairs(q, r, projects).count()
+
+
+def test_pairs_of_an_identifier_pack(spark, tmp_path):
+    """All hints meet one list of records before the next, so that a pair takes a small part of a byte in a file."""
+    from cairn.operators import assisted
+
+    h = spark.range(200).selectExpr("id * 3 AS query_id", "'ticket_number' AS field", "'7' AS raw", "'7' AS norm")
+    s = spark.range(5003).selectExpr("id * 5 AS id", "'ticket_number' AS field", "'7' AS norm")
+    assisted.identifier_exact(h, s).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert set(out.columns) == {"query_id", "field", "raw", "norm", "id"} and out.distinct().count() == out.count() == 200 * 5003
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.5 * 200 * 5003
